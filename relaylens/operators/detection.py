@@ -5,6 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from relaylens import fixed_values as fv
 from relaylens.functions.hosts import domain_after_last_at
@@ -69,7 +70,7 @@ def lookalike_candidates(domain: Column) -> Column:
     return dense(*out)
 
 
-@F.pandas_udf("array<string>")
+@F.pandas_udf(T.ArrayType(T.StringType()))
 def _similar(domain: pd.Series, candidates: pd.Series) -> pd.Series:
     """Keep the candidates whose matching-block ratio with the domain exceeds the limit."""
     from difflib import SequenceMatcher

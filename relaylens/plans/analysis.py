@@ -55,21 +55,34 @@ def address_intel(facts: DataFrame, dims: Dimensions) -> DataFrame:
     return geo.ip_intel(usage, dims.city, dims.asn, dims.fallback, dims.ptr)
 
 
-def located(facts: DataFrame, dims: Dimensions, key: str = "email_id") -> DataFrame:
+def located(facts: DataFrame, intel: DataFrame, key: str = "email_id") -> DataFrame:
     """Facts with intel, signals, candidates, estimate and the origin geography."""
-    known = geo.attach_intel(facts, address_intel(facts, dims), key)
+    known = geo.attach_intel(facts, intel, key)
     fused = location.with_estimate(location.with_ranking(location.with_signals(known)))
     return location.with_origin_geo(location.with_artifact_map(fused))
 
 
-def traced(facts: DataFrame, dims: Dimensions, key: str = "email_id") -> DataFrame:
+def traced(facts: DataFrame, intel: DataFrame, key: str = "email_id") -> DataFrame:
     """Trace result of each message: located, with route and risk."""
-    return risk.with_trace_risk(location.with_route(located(facts, dims, key)))
+    return risk.with_trace_risk(location.with_route(located(facts, intel, key)))
 
 
-def assessed(facts: DataFrame, dims: Dimensions, key: str = "email_id") -> DataFrame:
+def assessed(facts: DataFrame, intel: DataFrame, key: str = "email_id") -> DataFrame:
     """Full result of each message, ready for either report shape."""
-    return report.with_resolved_place(risk.with_verdict(traced(facts, dims, key)))
+    return report.with_resolved_place(risk.with_verdict(traced(facts, intel, key)))
+
+
+def analyze(messages: DataFrame, dims: Dimensions) -> DataFrame:
+    """Messages (with ``ml_prob``) to full results, with the two tables that are read more than
+    once written in between: facts (parsed once) and address records (looked up once)."""
+    facts = staged(message_facts(messages), "facts")
+    return assessed(facts, staged(address_intel(facts, dims), "intel"))
+
+
+def trace_only(messages: DataFrame, dims: Dimensions) -> DataFrame:
+    """The trace side alone, for batch tracing without detection."""
+    facts = staged(trace_facts(messages).drop(*TEXT_COLUMNS), "facts")
+    return traced(facts, staged(address_intel(facts, dims), "intel"))
 
 
 def staged(df: DataFrame, name: str) -> DataFrame:

@@ -290,6 +290,8 @@ def spread(df: DataFrame) -> DataFrame:
 
     A table of many files or row groups is left as the scan splits it.
     """
+    if df.isStreaming:
+        return df
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
@@ -307,8 +309,9 @@ def _with_names(sql: str, names: tuple[str, ...]) -> str:
     return sql
 
 
-def flat_mail(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _with_received(_query(spark, sf_dir, mail_sql(), "documents"))
+def flat_mail(spark: SparkSession, sf_dir: str, documents: DataFrame | None = None) -> DataFrame:
+    docs = spread(table(spark, sf_dir, "documents") if documents is None else documents)
+    return _with_received(spark.sql(_with_names(mail_sql(), ("documents",)), documents=docs))
 
 
 def pack(flat: DataFrame) -> DataFrame:
@@ -397,9 +400,9 @@ def raw_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.encode("text", "UTF-8").alias("content"))
 
 
-def raw_mail(spark: SparkSession, sf_dir: str) -> DataFrame:
+def raw_mail(spark: SparkSession, sf_dir: str, documents: DataFrame | None = None) -> DataFrame:
     """The derived mail written out as message bytes, to go through the MIME stage."""
-    m = flat_mail(spark, sf_dir)
+    m = flat_mail(spark, sf_dir, documents)
     nl = F.lit("\r\n")
 
     def header(name: str, value):
@@ -438,4 +441,10 @@ def raw_mail(spark: SparkSession, sf_dir: str) -> DataFrame:
         part("", F.col("file_text"), extra=file_head, condition=F.col("file_name").isNotNull()),
         F.lit("--=_b--\r\n"),
     )
-    return m.select("path", F.encode(text, "UTF-8").alias("content"), "k", "ml_prob")
+    return m.select("path", F.encode(text, "UTF-8").alias("content"))
+
+
+def given_probability(messages: DataFrame) -> DataFrame:
+    """The workload's supplied probability, from the message number in the path."""
+    k = F.regexp_extract("path", r"(\d+)\.eml$", 1).cast("long")
+    return messages.withColumn("ml_prob", ((k * 37) % 1001).cast("double") / 1000)
