@@ -569,7 +569,7 @@ def g3(spark, sf):
 
 @entry("g3_geo_range_join_overlaps",
        "SELECT ip, arg_min(country, {'w': hi - lo, 'l': lo, 'h': hi}) AS country FROM ips "
-       "LEFT JOIN overlaps ON num BETWEEN lo AND hi GROUP BY ip")
+       "LEFT JOIN many_ranges ON num BETWEEN lo AND hi GROUP BY ip")
 def g3_overlaps(spark, sf):
     known = geo.gate(geo.distinct_ips(addresses(spark, sf)))
     found = geo.range_lookup(known, {"o": geo.disjoint_ranges(w.overlaps(spark, sf))})

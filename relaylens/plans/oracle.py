@@ -535,10 +535,10 @@ SELECT *, row_number() OVER (PARTITION BY k ORDER BY n) - 1 AS seq, {_registered
  AS domain FROM urls0""",
     "flags": _flags_sql(),
     "pattach": f"SELECT email_id, filename, payload FROM ({w.ATTACHMENTS_SQL}) a",
-    "overlaps": w.OVERLAP_SQL,
+    "many_ranges": w.OVERLAP_SQL,
     "scored": f"""
 SELECT m.k, m.email_id, m.ml_prob, least(coalesce(sum({_case_of(
-        "split_part(flag, ':', 1)", fv.FLAG_WEIGHTS, str(fv.DEFAULT_FLAG_WEIGHT))}), 0), 100)
+        "split_part(flag, ':', 1)", fv.FLAG_WEIGHTS, str(fv.DEFAULT_FLAG_WEIGHT))}) FILTER (flag IS NOT NULL), 0), 100)
   AS rule_score, count(DISTINCT CASE WHEN flag IS NULL THEN NULL ELSE {_case_of(
         "split_part(flag, ':', 1)", fv.FLAG_CATEGORIES, "'other'")} END) AS categories,
  coalesce(string_agg(flag, ' | ' ORDER BY grp, item), '') AS flags

@@ -412,18 +412,15 @@ def raw_mail(spark: SparkSession, sf_dir: str, documents: DataFrame | None = Non
     def encoded(c):
         return F.regexp_replace(F.base64(F.encode(c, "UTF-8")), r"\s", "")
 
-    def part(kind: str, body, extra="", condition=None):
-        block = F.concat(
-            F.lit("--=_b\r\n" + f"Content-Type: {kind}\r\n" if not extra else ""),
-            extra if extra else F.lit(""),
-            F.lit("Content-Transfer-Encoding: base64\r\n\r\n"), F.base64(F.encode(body, "UTF-8")),
-            nl)
-        return block if condition is None else F.when(condition, block).otherwise("")
+    def part(head, body, condition=F.lit(True)):
+        return F.when(condition, F.concat(
+            F.lit("--=_b\r\nContent-Type: "), head,
+            F.lit("\r\nContent-Transfer-Encoding: base64\r\n\r\n"),
+            F.base64(F.encode(body, "UTF-8")), nl)).otherwise("")
 
     file_head = F.concat(
-        F.lit("--=_b\r\nContent-Type: application/octet-stream\r\n"
-              "Content-Disposition: attachment; filename=\""), F.col("file_name"),
-        F.lit("\"\r\n"))
+        F.lit("application/octet-stream\r\nContent-Disposition: attachment; filename=\""),
+        F.col("file_name"), F.lit("\""))
     subject = F.concat(F.lit("=?utf-8?b?"), encoded(F.col("subject")), F.lit("?="))
     text = F.concat(
         F.array_join(F.transform(
@@ -436,9 +433,9 @@ def raw_mail(spark: SparkSession, sf_dir: str, documents: DataFrame | None = Non
         F.when(F.col("subject") != "", header("Subject", subject)).otherwise(""),
         header("Date", "date_raw"), header("Message-ID", F.trim("message_id")),
         F.lit("MIME-Version: 1.0\r\nContent-Type: multipart/mixed; boundary=\"=_b\"\r\n\r\n"),
-        part("text/plain; charset=utf-8", F.col("body_plain")),
-        part("text/html; charset=utf-8", F.col("body_html"), condition=F.col("body_html") != ""),
-        part("", F.col("file_text"), extra=file_head, condition=F.col("file_name").isNotNull()),
+        part(F.lit("text/plain; charset=utf-8"), F.col("body_plain")),
+        part(F.lit("text/html; charset=utf-8"), F.col("body_html"), F.col("body_html") != ""),
+        part(file_head, F.col("file_text"), F.col("file_name").isNotNull()),
         F.lit("--=_b--\r\n"),
     )
     return m.select("path", F.encode(text, "UTF-8").alias("content"))
