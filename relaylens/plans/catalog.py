@@ -32,14 +32,14 @@ ORACLE: dict[str, str] = {}
 _STAGED: dict[tuple, str] = {}
 
 
-def entry(name: str, sql: str | None = None):
+def entry(name: str, sql: str | None = None, after_parsing: bool = False):
     def add(fn: Query) -> Query:
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
             return fn(configure(spark), sf_dir.rstrip("/"))
 
         QUERIES[name] = run
         if sql is not None:
-            ORACLE[name] = oracle.query(sql)
+            ORACLE[name] = oracle.query(sql, after_parsing)
         return fn
 
     return add
@@ -235,7 +235,7 @@ def s14(spark, sf):
         bad.select("path", F.lit(False).alias("parsed")))
 
 
-@entry("s5_stream_messages", _REPORT_SQL.replace("id, ", "k, ", 1))
+@entry("s5_stream_messages", _REPORT_SQL.replace("id, ", "k, ", 1), after_parsing=True)
 def s5(spark, sf):
     """The documents as a stream of raw messages, through the monitor, to reports."""
     schema = w.table(spark, sf, "documents").schema
@@ -269,9 +269,8 @@ def s8(spark, sf):
 # --- parsing ---
 
 
-@entry("p1_parse_messages", """SELECT path, trim(message_id) AS message_id,
- nullif(subject, '') AS subject, from_raw, to_raw, CASE WHEN ends_with(date_raw, ' ')
- THEN date_raw || '-0000' ELSE replace(date_raw, 'GMT', '+0000') END AS date_raw,
+@entry("p1_parse_messages", ""f"""SELECT path, trim(message_id) AS message_id,
+ nullif(subject, '') AS subject, from_raw, to_raw, {oracle.PARSED_DATE} AS date_raw,
  received_spf, x_originating, (SELECT count(*) FROM rec WHERE rec.k = mail.k) AS received,
  error FROM (SELECT *, CAST(NULL AS VARCHAR) AS error FROM mail) mail""")
 def p1(spark, sf):

@@ -590,8 +590,16 @@ def _needs(sql: str, names: list[str]) -> set[str]:
     return words & set(names)
 
 
-def query(select: str) -> str:
-    """The select with the CTEs it needs, in definition order."""
+# The MIME stage normalises dates: a named zone becomes an offset, a missing one -0000.
+PARSED_DATE = ("CASE WHEN ends_with(date_raw, ' ') THEN date_raw || '-0000' "
+               "ELSE replace(date_raw, 'GMT', '+0000') END")
+
+
+def query(select: str, after_parsing: bool = False) -> str:
+    """The select with the CTEs it needs, in definition order.
+
+    ``after_parsing`` is for messages that went through the MIME stage.
+    """
     names = list(CTES)
     wanted: set[str] = set()
     todo = _needs(select, names)
@@ -599,5 +607,8 @@ def query(select: str) -> str:
         name = todo.pop()
         wanted.add(name)
         todo |= _needs(CTES[name], names) - wanted
-    body = ",\n".join(f"{n} AS MATERIALIZED ({CTES[n]})" for n in names if n in wanted)
+    ctes = dict(CTES)
+    if after_parsing:
+        ctes["zones"] = ctes["zones"].replace("date_raw", PARSED_DATE)
+    body = ",\n".join(f"{n} AS MATERIALIZED ({ctes[n]})" for n in names if n in wanted)
     return f"WITH {body}\n{select}" if body else select

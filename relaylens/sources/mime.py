@@ -150,7 +150,7 @@ def parse_message(content: bytes) -> dict:
             auth_headers=[str(h) for h in msg.get_all("Authentication-Results", [])],
             received_spf=_text(msg, "Received-SPF"),
             received=[str(h) for h in msg.get_all("Received", [])],
-            x_headers=[(h, str(msg[h])) for h in fv.CLIENT_IP_HEADERS if msg[h] is not None],
+            x_headers={h: str(msg[h]) for h in fv.CLIENT_IP_HEADERS if msg[h] is not None},
             body_plain=plain, body_html=html, trace_body=_trace_body(msg),
             anchors=_anchors(html) if html else [], attachments=_attachments(msg),
         )
