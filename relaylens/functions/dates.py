@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from relaylens import fixed_values as fv
-from relaylens.functions.text import bind
+from relaylens.functions.text import bind, constant
 
 _MONTH = "jan(?:uary)?|feb(?:ruary)?|mar(?:ch)?|apr(?:il)?|may|june?|july?|aug(?:ust)?" \
          "|sep(?:tember)?|oct(?:ober)?|nov(?:ember)?|dec(?:ember)?"
@@ -48,7 +48,7 @@ def _local_text(parts: Column) -> Column:
 
 def _zone_text(zone: Column) -> Column:
     """+hhmm for a known zone, null for an unknown one and for -0000."""
-    named = F.create_map(*[F.lit(x) for kv in fv.ZONE_OFFSETS.items() for x in kv])
+    named = constant(fv.ZONE_OFFSETS)
     sign = F.when(zone.startswith("-"), F.lit("-")).otherwise(F.lit("+"))
     return (
         F.when(zone.rlike(r"^[A-Z]+$"), F.try_element_at(named, zone))

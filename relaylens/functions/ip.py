@@ -12,7 +12,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from relaylens import fixed_values as fv
-from relaylens.functions.text import bind
+from relaylens.functions.text import bind, constant
 
 _OCTET = r"(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])"
 _DOTTED = rf"(?:{_OCTET}\.){{3}}{_OCTET}"
@@ -90,23 +90,19 @@ def ipv6_hex(c: Column) -> Column:
     return bind(bind(F.lower(_hextets_for_tail(c)), halves), joined)
 
 
-def _any(conditions: list[Column]) -> Column:
-    out = conditions[0]
-    for c in conditions[1:]:
-        out = out | c
-    return out
+def _bounds(networks: list[str], form) -> Column:
+    nets = [ipaddress.ip_network(n) for n in networks]
+    return constant([(("lo", form(int(n[0]))), ("hi", form(int(n[-1])))) for n in nets])
 
 
 def _v4_in(number: Column, networks: list[str]) -> Column:
-    nets = [ipaddress.ip_network(n) for n in networks]
-    return _any([
-        number.between(F.lit(int(n[0])).cast("long"), F.lit(int(n[-1])).cast("long")) for n in nets
-    ])
+    bounds = _bounds(networks, int).cast("array<struct<lo:bigint,hi:bigint>>")
+    return F.exists(bounds, lambda n: number.between(n["lo"], n["hi"]))
 
 
 def _v6_in(hex32: Column, networks: list[str]) -> Column:
-    nets = [ipaddress.ip_network(n) for n in networks]
-    return _any([hex32.between(f"{int(n[0]):032x}", f"{int(n[-1]):032x}") for n in nets])
+    bounds = _bounds(networks, lambda k: f"{k:032x}")
+    return F.exists(bounds, lambda n: hex32.between(n["lo"], n["hi"]))
 
 
 def _v4_private(number: Column) -> Column:

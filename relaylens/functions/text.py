@@ -7,6 +7,7 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+
 # Characters with a meaning in Java regular expressions.
 _META = re.compile(r"([\\.\[\]{}()*+\-?^$|])")
 
@@ -82,3 +83,23 @@ def unnest(rows: DataFrame, column: str, *keep: str, position: str | None = None
         return out.where(F.col(item).isNotNull())
     out = rows.select(*keep, F.posexplode_outer(column).alias(position, item))
     return out.where(F.col(position).isNotNull())
+
+
+def constant(value) -> Column:
+    """Nested lists, dicts (maps), tuples of (name, value) pairs (structs) and scalars as one
+    literal expression, built in a single call."""
+    return F.expr(_literal(value))
+
+
+def _literal(value) -> str:
+    if isinstance(value, list):
+        return f"array({', '.join(_literal(v) for v in value)})"
+    if isinstance(value, dict):
+        return f"map({', '.join(f'{_literal(k)}, {_literal(v)}' for k, v in value.items())})"
+    if isinstance(value, tuple):
+        fields = ", ".join(f"{_literal(k)}, {_literal(v)}" for k, v in value)
+        return f"named_struct({fields})"
+    if isinstance(value, str):
+        escaped = value.replace("\\", "\\\\").replace("'", "\\'")
+        return f"'{escaped}'"
+    return f"{value}L" if isinstance(value, int) and abs(value) > 2**31 - 1 else repr(value)

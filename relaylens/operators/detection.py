@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 from relaylens import fixed_values as fv
 from relaylens.functions.hosts import domain_after_last_at
 from relaylens.functions.rounding import round_exact, round_half_even_int
-from relaylens.functions.text import any_of, contains_any, dense, unnest
+from relaylens.functions.text import any_of, constant, contains_any, dense, unnest
 
 _NONE = "array<string>"
 
@@ -59,15 +59,21 @@ def lookalike_candidates(domain: Column) -> Column:
 
     Matching characters cannot exceed what both words have in common, counted with repeats.
     """
-    out = []
-    for trusted in fv.TRUSTED_DOMAINS:
-        common = F.lit(0)
-        for ch in dict.fromkeys(trusted):
-            seen = F.length(domain) - F.length(F.replace(domain, F.lit(ch), F.lit("")))
-            common = common + F.least(seen, F.lit(trusted.count(ch)))
-        bound = 2.0 * common / (F.length(domain) + len(trusted))
-        out.append(F.when((domain != trusted) & (bound > fv.LOOKALIKE_RATIO), F.lit(trusted)))
-    return dense(*out)
+    known = constant([
+        (("name", t), ("size", len(t)),
+         ("letters", [(("ch", c), ("n", t.count(c))) for c in dict.fromkeys(t)]))
+        for t in fv.TRUSTED_DOMAINS
+    ])
+
+    def near(t: Column) -> Column:
+        common = F.aggregate(
+            t["letters"], F.lit(0),
+            lambda acc, x: acc + F.least(
+                F.length(domain) - F.length(F.replace(domain, x["ch"], F.lit(""))), x["n"]))
+        bound = 2.0 * common / (F.length(domain) + t["size"])
+        return (domain != t["name"]) & (bound > fv.LOOKALIKE_RATIO)
+
+    return F.transform(F.filter(known, near), lambda t: t["name"])
 
 
 @F.pandas_udf(T.ArrayType(T.StringType()))
@@ -131,19 +137,20 @@ def short_url_flag(u: Column) -> Column:
                   F.concat(F.lit("SHORTENED_URL:"), u["url"]))
 
 
-def anchor_flags(u: Column) -> list[Column]:
-    text = F.lower(u["anchor_text"])
-    return [
-        F.when(
-            F.contains(text, F.lit(trusted.split(".")[0])) & (u["domain"] != trusted),
-            F.concat(F.lit("ANCHOR_TEXT_MISMATCH:"), u["anchor_text"], F.lit("->"), u["domain"]))
-        for trusted in fv.TRUSTED_DOMAINS
-    ]
+def anchor_flags(u: Column) -> Column:
+    """One flag per trusted brand that the link text names and the link does not belong to."""
+    brands = constant([
+        (("brand", t.split(".")[0]), ("domain", t)) for t in fv.TRUSTED_DOMAINS])
+    named = F.filter(brands, lambda b: F.coalesce(
+        F.contains(F.lower(u["anchor_text"]), b["brand"]) & (u["domain"] != b["domain"]),
+        F.lit(False)))
+    return F.transform(named, lambda b: F.concat(
+        F.lit("ANCHOR_TEXT_MISMATCH:"), u["anchor_text"], F.lit("->"), u["domain"]))
 
 
 def url_flags() -> Column:
     return F.flatten(F.transform(
-        "urls", lambda u: dense(ip_url_flag(u), short_url_flag(u), *anchor_flags(u))))
+        "urls", lambda u: F.concat(dense(ip_url_flag(u), short_url_flag(u)), anchor_flags(u))))
 
 
 def is_risky_file(filename: Column) -> Column:
@@ -163,11 +170,10 @@ def display_name_flags() -> Column:
     name, domain = F.col("sender_name"), F.col("rule_domain")
     usable = (F.coalesce(name, F.lit("")) != "") & F.contains(F.col("sender_addr"), F.lit("@"))
     text = F.concat(F.lit("DISPLAY_NAME_IMPERSONATION:"), name, F.lit("->"), domain)
-    words = [b.split()[0] for b in fv.IMPERSONATION_BRANDS]
-    return F.when(usable, dense(*[
-        F.when(F.contains(F.lower(name), F.lit(w)) & ~F.contains(domain, F.lit(w)), text)
-        for w in words
-    ])).otherwise(_no_flags())
+    words = constant([b.split()[0] for b in fv.IMPERSONATION_BRANDS])
+    claimed = F.filter(
+        words, lambda x: F.contains(F.lower(name), x) & ~F.contains(domain, x))
+    return F.when(usable, F.transform(claimed, lambda x: text)).otherwise(_no_flags())
 
 
 def with_flags(messages: DataFrame) -> DataFrame:
@@ -185,12 +191,8 @@ def base_type(flag: Column) -> Column:
     return F.substring_index(flag, ":", 1)
 
 
-def _table(values: dict) -> Column:
-    return F.create_map(*[F.lit(x) for kv in values.items() for x in kv])
-
-
 def with_rule_score(messages: DataFrame) -> DataFrame:
-    weights = _table(fv.FLAG_WEIGHTS)
+    weights = constant(fv.FLAG_WEIGHTS)
     total = F.aggregate(
         F.transform("flags", lambda f: F.coalesce(
             F.try_element_at(weights, base_type(f)), F.lit(fv.DEFAULT_FLAG_WEIGHT))),
@@ -198,7 +200,7 @@ def with_rule_score(messages: DataFrame) -> DataFrame:
     return messages.withColumn("rule_score", F.least(total, F.lit(100)))
 
 
-def flag_table(messages_with_flags: DataFrame, key: str = "email_id") -> DataFrame:
+def flagconstant(messages_with_flags: DataFrame, key: str = "email_id") -> DataFrame:
     """Long form: one row per flag with its type, detail, weight and category."""
     f = unnest(messages_with_flags, "flags", key, position="seq", item="flag")
     base = base_type(F.col("flag"))
@@ -207,9 +209,9 @@ def flag_table(messages_with_flags: DataFrame, key: str = "email_id") -> DataFra
         F.when(F.contains(F.col("flag"), F.lit(":")),
                F.substring(F.col("flag"), F.instr("flag", ":") + 1, F.length("flag")))
         .alias("detail"),
-        F.coalesce(F.try_element_at(_table(fv.FLAG_WEIGHTS), base),
+        F.coalesce(F.try_element_at(constant(fv.FLAG_WEIGHTS), base),
                    F.lit(fv.DEFAULT_FLAG_WEIGHT)).alias("weight"),
-        F.coalesce(F.try_element_at(_table(fv.FLAG_CATEGORIES), base), F.lit("other"))
+        F.coalesce(F.try_element_at(constant(fv.FLAG_CATEGORIES), base), F.lit("other"))
         .alias("category"),
     )
 
@@ -217,7 +219,7 @@ def flag_table(messages_with_flags: DataFrame, key: str = "email_id") -> DataFra
 def with_fraud_score(messages: DataFrame, probability: str = "ml_prob") -> DataFrame:
     """Fraud score, category, confidence and its label.  Needs flags and rule_score."""
     p = F.col(probability)
-    categories = _table(fv.FLAG_CATEGORIES)
+    categories = constant(fv.FLAG_CATEGORIES)
     hit = F.size(F.array_distinct(F.transform(
         "flags", lambda f: F.coalesce(
             F.try_element_at(categories, base_type(f)), F.lit("other")))))

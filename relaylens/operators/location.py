@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 
 from relaylens import fixed_values as fv
 from relaylens.functions.rounding import round_exact
-from relaylens.functions.text import all_groups, bind, dense, first_of, null_if_empty, quoted
+from relaylens.functions.text import (
+    all_groups, bind, constant, dense, first_of, null_if_empty, quoted,
+)
 from relaylens.operators.geo import intel_of
 from relaylens.operators.hops import is_public
 
@@ -120,10 +122,8 @@ def network_signals() -> dict[str, Column]:
             F.coalesce(null_if_empty(geo["isp"]), F.lit("ISP")))
 
     zone = F.col("date_zone")
-    countries = F.create_map(*[
-        F.lit(x) for k, (c, _) in fv.TIMEZONE_COUNTRIES.items() for x in (k, c)])
-    codes = F.create_map(*[
-        F.lit(x) for k, (_, cc) in fv.TIMEZONE_COUNTRIES.items() for x in (k, cc)])
+    countries = constant({k: c for k, (c, _) in fv.TIMEZONE_COUNTRIES.items()})
+    codes = constant({k: cc for k, (_, cc) in fv.TIMEZONE_COUNTRIES.items()})
     country = F.try_element_at(countries, zone)
     return {
         "_sig1": F.when(F.col("s1_ip").isNotNull(), _address_signal(
