@@ -9,6 +9,7 @@ from pyspark.sql import types as T
 
 from relaylens import fixed_values as fv
 from relaylens.functions.hosts import domain_after_last_at
+from relaylens.functions.remember import remembered
 from relaylens.functions.rounding import round_exact, round_half_even_int
 from relaylens.functions.text import any_of, constant, contains_any, dense, unnest
 
@@ -33,6 +34,7 @@ def with_sender(messages: DataFrame) -> DataFrame:
     })
 
 
+@remembered
 def auth_flags() -> Column:
     spf = F.col("auth_spf")
     return dense(
@@ -42,11 +44,13 @@ def auth_flags() -> Column:
     )
 
 
+@remembered
 def reply_to_flag() -> Column:
     reply, own = F.col("reply_rule_domain"), F.col("rule_domain")
     return F.when(F.col("has_from") & (reply != "") & (reply != own), "REPLY_TO_MISMATCH")
 
 
+@remembered
 def return_path_flag() -> Column:
     path, own = F.col("return_path"), F.col("rule_domain")
     return F.when(
@@ -76,6 +80,11 @@ def lookalike_candidates(domain: Column) -> Column:
     return F.transform(F.filter(known, near), lambda t: t["name"])
 
 
+@remembered
+def _near_own_domain() -> Column:
+    return lookalike_candidates(F.col("rule_domain"))
+
+
 @F.pandas_udf(T.ArrayType(T.StringType()))
 def _similar(domain: pd.Series, candidates: pd.Series) -> pd.Series:
     """Keep the candidates whose matching-block ratio with the domain exceeds the limit."""
@@ -101,14 +110,14 @@ def with_lookalikes(messages: DataFrame) -> DataFrame:
     all others send nulls.  No join on the domain, so a popular domain is no hot key.
     """
     staged = messages.withColumn(
-        "_near", F.when(F.col("has_from") & (F.col("rule_domain") != ""),
-                        lookalike_candidates(F.col("rule_domain")))
+        "_near", F.when(F.col("has_from") & (F.col("rule_domain") != ""), _near_own_domain())
     ).withColumn("_near", F.when(F.size("_near") > 0, F.col("_near")))
     asked = F.when(F.col("_near").isNotNull(), F.col("rule_domain"))
     return staged.withColumn("_close", _similar(asked, F.col("_near"))).withColumn(
         "lookalikes", F.coalesce("_close", _no_flags())).drop("_near", "_close")
 
 
+@remembered
 def lookalike_flags() -> Column:
     return F.transform("lookalikes", lambda t: F.concat(
         F.lit("LOOKALIKE_DOMAIN:"), F.col("rule_domain"), F.lit("~"), t))
@@ -119,10 +128,12 @@ def body_text() -> Column:
         F.coalesce("body_plain", F.lit("")), F.lit(" "), F.coalesce("body_html", F.lit(""))))
 
 
+@remembered
 def urgency_flag() -> Column:
     return F.when(contains_any(F.col("_body"), fv.URGENCY_TERMS), "URGENCY_LANGUAGE")
 
 
+@remembered
 def bec_flag() -> Column:
     return F.when(contains_any(F.col("_body"), fv.BEC_TERMS), "BEC_LANGUAGE_PATTERN")
 
@@ -148,6 +159,7 @@ def anchor_flags(u: Column) -> Column:
         F.lit("ANCHOR_TEXT_MISMATCH:"), u["anchor_text"], F.lit("->"), u["domain"]))
 
 
+@remembered
 def url_flags() -> Column:
     return F.flatten(F.transform(
         "urls", lambda u: F.concat(dense(ip_url_flag(u), short_url_flag(u)), anchor_flags(u))))
@@ -157,6 +169,7 @@ def is_risky_file(filename: Column) -> Column:
     return F.lower(filename).rlike("(?:" + any_of(fv.RISKY_EXTENSIONS) + ")$")
 
 
+@remembered
 def attachment_flags() -> Column:
     risky = F.filter(
         F.coalesce("attachments", F.array().cast(
@@ -165,6 +178,7 @@ def attachment_flags() -> Column:
     return F.transform(risky, lambda a: F.concat(F.lit("RISKY_ATTACHMENT:"), a["filename"]))
 
 
+@remembered
 def display_name_flags() -> Column:
     """One flag per brand word that the display name has and the domain has not."""
     name, domain = F.col("sender_name"), F.col("rule_domain")
@@ -200,7 +214,7 @@ def with_rule_score(messages: DataFrame) -> DataFrame:
     return messages.withColumn("rule_score", F.least(total, F.lit(100)))
 
 
-def flagconstant(messages_with_flags: DataFrame, key: str = "email_id") -> DataFrame:
+def flag_table(messages_with_flags: DataFrame, key: str = "email_id") -> DataFrame:
     """Long form: one row per flag with its type, detail, weight and category."""
     f = unnest(messages_with_flags, "flags", key, position="seq", item="flag")
     base = base_type(F.col("flag"))

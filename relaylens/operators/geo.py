@@ -115,11 +115,9 @@ def disjoint_ranges(ranges: DataFrame) -> DataFrame:
         F.min(F.struct("width", "src_lo", "src_hi", "rec"))
         .alias("best"))
 
+    borders = ranges.sparkSession.range(BUCKET).select((F.col("id") * BUCKET).alias("at"))
     cuts = base.select(F.explode(F.array("src_lo", F.col("src_hi") + 1)).alias("at")) \
-        .union(base.select(F.explode(F.expr(
-            f"transform(sequence(src_lo div {BUCKET}, src_hi div {BUCKET}), "
-            f"b -> greatest(b * {BUCKET}, src_lo))")).alias("at"))) \
-        .distinct().withColumn("bucket", F.expr(f"at div {BUCKET}"))
+        .union(borders).distinct().withColumn("bucket", F.expr(f"at div {BUCKET}"))
     bucket_end = (F.col("bucket") + 1) * BUCKET - 1
     segments = cuts.withColumn(
         "end",

@@ -14,6 +14,7 @@ from relaylens import fixed_values as fv
 from relaylens.functions import ip
 from relaylens.functions.dates import date_parts, date_value
 from relaylens.functions.hosts import is_reputable
+from relaylens.functions.remember import remembered
 from relaylens.functions.text import all_groups, first_group, first_of, last_of, squeeze, unnest
 
 # What each pattern reads is part of the result.
@@ -63,15 +64,12 @@ def _resolve(h: Column) -> Column:
     )
 
 
-def with_hops(messages: DataFrame) -> DataFrame:
-    """Add ``hops array<struct<...>>``, newest first, index from 0."""
-    staged = messages.withColumn(
-        "_read",
-        F.transform(
-            F.coalesce("received", F.array().cast("array<string>")),
-            lambda h: _read(F.trim(squeeze(h))),
-        ),
-    ).withColumn("_hops", F.transform("_read", _resolve))
+@remembered
+def _hop_columns() -> list[dict[str, Column]]:
+    read = F.transform(
+        F.coalesce("received", F.array().cast("array<string>")),
+        lambda h: _read(F.trim(squeeze(h))),
+    )
 
     def final(h: Column, i: Column) -> Column:
         older = F.try_element_at(F.col("_hops"), i + 2)["date"]
@@ -94,7 +92,17 @@ def with_hops(messages: DataFrame) -> DataFrame:
             (is_reputable(h["by_host"]) | is_reputable(h["from_host"])).alias("is_relay"),
         )
 
-    return staged.withColumn("hops", F.transform("_hops", final)).drop("_read", "_hops")
+    return [
+        {"_read": read}, {"_hops": F.transform("_read", _resolve)},
+        {"hops": F.transform("_hops", final)},
+    ]
+
+
+def with_hops(messages: DataFrame) -> DataFrame:
+    """Add ``hops array<struct<...>>``, newest first, index from 0."""
+    for columns in _hop_columns():
+        messages = messages.withColumns(columns)
+    return messages.drop("_read", "_hops")
 
 
 def is_public(h: Column) -> Column:

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from relaylens import fixed_values as fv
+from relaylens.functions.remember import remembered
 from relaylens.functions.rounding import round_exact
 from relaylens.functions.text import (
     all_groups, bind, constant, dense, first_of, null_if_empty, quoted,
@@ -35,10 +36,15 @@ def with_artifacts(messages: DataFrame) -> DataFrame:
         "phone_numbers": found(_UNICODE + fv.PHONE_PATTERN),
         "ifsc_codes": found(_UNICODE + fv.IFSC_PATTERN),
         "financial_mentions": found(f"{_UNICODE}(?i){fv.RUPEE_PATTERN}"),
-        "scripts": scripts_of(F.col("_text")),
+        "scripts": _scripts(),
     }).drop("_text")
 
 
+@remembered
+def _scripts() -> Column:
+    return scripts_of(F.col("_text"))
+
+
 def _script_class(name: str) -> str:
     # The Arabic tatweel is a letter by name but of the common script.
     return rf"\p{{Is{name}}}" + ("\u0640" if name == "Arabic" else "")
@@ -112,6 +118,7 @@ def _address_signal(seq: int, sid: str, name: str, weight: float, address: Colum
     )
 
 
+@remembered
 def network_signals() -> dict[str, Column]:
     """Columns for the two client-address signals, the clock and the last resort."""
     s1, s2 = F.col("_g1"), F.col("_g2")
@@ -139,6 +146,7 @@ def network_signals() -> dict[str, Column]:
     }
 
 
+@remembered
 def content_signals() -> list[Column]:
     out = []
     for i, (key, sid, name, weight) in enumerate(fv.CONTENT_SIGNALS):
@@ -150,6 +158,7 @@ def content_signals() -> list[Column]:
     return out
 
 
+@remembered
 def script_signals() -> Column:
     def one(s: Column, i: Column) -> Column:
         indic = s["script"].isin(fv.INDIC_SCRIPTS)
@@ -164,6 +173,16 @@ def script_signals() -> Column:
     return F.transform("scripts", one)
 
 
+@remembered
+def last_resort_signal() -> Column:
+    return _address_signal(
+        16, "S6_INFRASTRUCTURE_GEO", "Relay Infrastructure IP Geolocation", 0.25,
+        F.col("origin_ip"), F.col("_g6"),
+        F.format_string(
+            fv.EVIDENCE_INFRA, "origin_ip",
+            F.coalesce(F.col("_g6.infrastructure_type"), F.lit("datacenter"))))
+
+
 def with_signals(facts: DataFrame) -> DataFrame:
     """``signals``: ordered array of structs.  Needs intel, artifacts, s1_ip, s2_ip, origin_ip."""
     staged = facts.withColumns({
@@ -174,17 +193,11 @@ def with_signals(facts: DataFrame) -> DataFrame:
     }).withColumns(network_signals()).withColumn(
         "_found",
         F.concat(dense("_sig1", "_sig2", "_sig3", *content_signals()), script_signals()))
-    last_resort = _address_signal(
-        16, "S6_INFRASTRUCTURE_GEO", "Relay Infrastructure IP Geolocation", 0.25,
-        F.col("origin_ip"), F.col("_g6"),
-        F.format_string(
-            fv.EVIDENCE_INFRA, "origin_ip",
-            F.coalesce(F.col("_g6.infrastructure_type"), F.lit("datacenter"))))
     nothing = ~F.exists("_found", lambda s: s["credited"])
     return staged.withColumn(
         "signals",
         F.when(nothing & F.col("origin_ip").isNotNull(),
-               F.concat("_found", F.array(last_resort))).otherwise(F.col("_found")),
+               F.concat("_found", F.array(last_resort_signal()))).otherwise(F.col("_found")),
     ).drop("_g1", "_g2", "_g6", "_sig1", "_sig2", "_sig3", "_found")
 
 

@@ -11,19 +11,25 @@ from pyspark.sql import functions as F
 
 from relaylens import fixed_values as fv
 from relaylens.functions import ip
+from relaylens.functions.remember import remembered
 from relaylens.functions.text import dense, first_of, last_of
 from relaylens.operators.hops import has_skew, is_public
 
 
-def with_client_ip(messages: DataFrame) -> DataFrame:
-    """``x_ip``: first public IPv4 that one of the client headers carries."""
+@remembered
+def _client_ip() -> Column:
     candidates = dense(*[
         F.regexp_extract(
             F.try_element_at("x_headers", F.lit(name)), r"(?:\d{1,3}\.){3}\d{1,3}", 0)
         for name in fv.CLIENT_IP_HEADERS
     ])
-    usable = F.filter(candidates, lambda c: ip.is_ipv4(c) & ~ip.is_private_ip(c))
-    return messages.withColumn("x_ip", first_of(usable))
+    return first_of(
+        F.filter(candidates, lambda c: ip.is_ipv4(c) & ~ip.is_private_ip(c)))
+
+
+def with_client_ip(messages: DataFrame) -> DataFrame:
+    """``x_ip``: first public IPv4 that one of the client headers carries."""
+    return messages.withColumn("x_ip", _client_ip())
 
 
 def _hop_notes(h: Column) -> Column:
@@ -39,14 +45,15 @@ def _hop_notes(h: Column) -> Column:
     )
 
 
-def with_origin(messages: DataFrame) -> DataFrame:
-    """Needs hops, x_ip and the trace verdicts; adds the origin columns and ``notes``."""
-    edge = messages.withColumns({
+@remembered
+def _origin_columns() -> list[dict[str, Column]]:
+    found = {
         "hop_count": F.size("hops"),
         "_edge": first_of(F.filter("hops", is_public)),
         "_claimed": last_of(F.filter("hops", is_public)),
         "_skewed": F.exists("hops", has_skew),
-    }).withColumns({
+    }
+    edge = {
         "edge_index": F.col("_edge.index"),
         "edge_ip": F.when(F.col("hop_count") > 0,
                           F.coalesce(F.col("_edge.from_ip"), "spf_client_ip")),
@@ -54,7 +61,7 @@ def with_origin(messages: DataFrame) -> DataFrame:
         "via_provider": F.coalesce(F.col("_edge.is_relay"), F.lit(False)),
         "break_index": first_of(F.filter(
             "hops", lambda h: (h["index"] >= F.col("_edge.index")) & ~h["is_relay"]))["index"],
-    })
+    }
 
     def reached(h: Column) -> Column:
         below = h["index"] > F.col("edge_index")
@@ -62,26 +69,24 @@ def with_origin(messages: DataFrame) -> DataFrame:
         submitted = (h["protocol"] == "ESMTPSA") & h["from_ip"].isNotNull()
         return below & trusted & (is_public(h) | F.coalesce(submitted, F.lit(False)))
 
-    walked = edge.withColumn("_walk", last_of(F.filter("hops", reached))).withColumns({
+    walked = {
         "walk_ip": F.coalesce(F.col("_walk.from_ip"), "edge_ip"),
         "walk_index": F.coalesce(F.col("_walk.index"), "edge_index"),
         "walk_basis": F.when(F.col("_walk").isNull(), "edge_received_hop")
         .when(is_public(F.col("_walk")), "reputable_relay_descent")
         .otherwise("esmtpsa_submission"),
-    })
+    }
 
     empty = F.col("hop_count") == 0
     override = ~empty & F.col("via_provider") & F.col("x_ip").isNotNull()
-    resolved = walked.withColumns({
+    resolved = {
         "origin_ip": F.when(empty | override, F.col("x_ip")).otherwise(F.col("walk_ip")),
         "origin_basis": F.when(empty & F.col("x_ip").isNull(), "no_received_headers")
         .when(empty | override, "x_originating_ip").otherwise(F.col("walk_basis")),
         "origin_hop_index": F.col("walk_index"),
         "claimed_ip": F.when(empty, F.col("x_ip")).otherwise(F.col("claimed_hop_ip")),
-    }).withColumn(
-        "origin_verified",
-        ~empty & F.coalesce(F.col("claimed_ip") == F.col("origin_ip"), F.lit(False)),
-    )
+    }
+    verified = ~empty & F.coalesce(F.col("claimed_ip") == F.col("origin_ip"), F.lit(False))
 
     stop = F.col("break_index") + 1
     stopped = (stop < F.col("hop_count")) & ~F.col("claimed_hop_ip").eqNullSafe(F.col("walk_ip"))
@@ -110,6 +115,15 @@ def with_origin(messages: DataFrame) -> DataFrame:
             F.coalesce("origin_ip", F.lit("unknown")), F.coalesce("edge_ip", F.lit("none")),
             F.coalesce("claimed_ip", F.lit("none")),
         ))
-    return resolved.withColumns({
-        "notes": notes, "origin_confidence": confidence, "attribution_note": attribution,
-    }).drop("_edge", "_claimed", "_skewed", "_walk")
+    return [
+        found, edge, {"_walk": last_of(F.filter("hops", reached))}, walked, resolved,
+        {"origin_verified": verified},
+        {"notes": notes, "origin_confidence": confidence, "attribution_note": attribution},
+    ]
+
+
+def with_origin(messages: DataFrame) -> DataFrame:
+    """Needs hops, x_ip and the trace verdicts; adds the origin columns and ``notes``."""
+    for columns in _origin_columns():
+        messages = messages.withColumns(columns)
+    return messages.drop("_edge", "_claimed", "_skewed", "_walk")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from relaylens.operators.report import final_report
-from relaylens.plans.analysis import Dimensions, analyze
+from relaylens.plans.analysis import Dimensions, address_intel, assessed, message_facts, staged
 from relaylens.sources.messages import dedup_raw, quarantine, read_table_or_none
 from relaylens.sources.mime import parse_messages
 from relaylens.sources.reports import source_stem
@@ -31,9 +31,10 @@ def process_batch(
     if done is not None:
         done = done.where(F.col("batch") != batch_id).select("email_id").distinct()
         fresh = fresh.join(done, "email_id", "left_anti")
-    parsed = parse_messages(fresh)
-    good, bad = quarantine(parsed)
-    results = analyze(scorer(good), dims)
+    # One staged table serves good and bad rows, so every message is parsed once.
+    facts = staged(message_facts(scorer(parse_messages(fresh))), "facts")
+    good, bad = quarantine(facts)
+    results = assessed(good, staged(address_intel(good, dims), "intel"))
     reports = final_report(results, "email_id", "path").withColumns({
         "source_stem": source_stem(F.col("path")), "processed_at": F.current_timestamp(),
     }).drop("path")
