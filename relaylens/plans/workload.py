@@ -278,8 +278,6 @@ SELECT CAST(p_partkey AS STRING) AS email_id,
  p_type AS content_type, p_name AS payload
 FROM part"""
 
-INGEST_SQL = "SELECT CAST(conv_id AS STRING) AS box, turn AS uid, role, text FROM conversations"
-
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
