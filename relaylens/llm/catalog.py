@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from relaylens.llm import cross_parsing, packing
+from relaylens.llm import cross_parsing, order_minhash, packing, superkmer_dedup
 from relaylens.llm.common import table
 from relaylens.session import configure
 
@@ -33,6 +33,12 @@ def op1(spark, sf):
     return packing.pack(table(spark, sf, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+@entry("op3_order_minhash")
+def op3(spark, sf):
+    return order_minhash.dedup(table(spark, sf, "documents")).withColumn(
+        "kept", F.col("doc_id") == F.col("class_id"))
+
+
 def held_out():
     return F.crc32(F.col("doc_id").cast("string")) % 4 == 2
 
@@ -43,3 +49,9 @@ def op8(spark, sf):
     training = cross_parsing.training_texts(docs.where(~held_out()))
     return cross_parsing.identify(docs, training).select(
         "doc_id", held_out().alias("held_out"), "lang_pred", "score")
+
+
+@entry("op9_super_kmer_dedup")
+def op9(spark, sf):
+    return superkmer_dedup.remove_repeats(table(spark, sf, "documents")).select(
+        "doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
