@@ -19,7 +19,6 @@ are packed as often as they come; an empty table gives no rows.
 from __future__ import annotations
 
 import zlib
-from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,88 +26,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from relaylens.llm.common import texts
+from relaylens.llm.word_bpe import Encoder
 
 CAPACITY = 2048
 END_ID = 1
 LINEAR, QUADRATIC = 1.0, 1.0 / 512
 BLOCK_TOKENS = 1 << 21
-REMEMBERED = 200_000
-SLICE = 1 << 20
 SCHEMA = ("doc_id long, start long, length long, ids_crc32 long, doc_tokens long, "
           "sequence_id long, offset long, cost double")
 
 
-class Encoder:
-    """Ids of a text as little-endian 32-bit bytes, by a tokenizer whose tokens hold no space."""
-
-    def __init__(self, path: str):
-        import os
-
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
-
-    def _learn(self, words: list[list[str]]) -> None:
-        met: set[str] = set()
-        for ws in words:
-            met.update(ws)
-        if len(self.known) > REMEMBERED:  # keep the words of the last two periods
-            self.older, self.known = self.known, {}
-        new = []
-        for w in met.difference(self.known):
-            ids = self.older.get(w)
-            if ids is None:
-                new.append(w)
-            else:
-                self.known[w] = ids
-        for i in range(0, len(new), 4096):
-            part = new[i:i + 4096]
-            for w, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False),
-                            strict=True):
-                self.known[w] = array("I", e.ids).tobytes()
-
-    def batch(self, bodies: list[str]) -> Iterator[bytes]:
-        words = [folded(b).replace("\n", " ").split(" ") for b in bodies]
-        self._learn(words)
-        for ws in words:
-            yield b"".join(map(self.known.__getitem__, ws))
-
-    def encode(self, bodies: list[str]) -> Iterator[bytes]:
-        """Ids of each body; long texts are cut into slices at white space."""
-        few: list[str] = []
-        size = 0
-        for body in bodies:
-            if len(body) > SLICE:
-                yield from self.batch(few)
-                few, size = [], 0
-                yield b"".join(x for part in slices(body) for x in self.batch([part]))
-                continue
-            few.append(body)
-            size += len(body)
-            if size > SLICE:
-                yield from self.batch(few)
-                few, size = [], 0
-        yield from self.batch(few)
-
-
-def folded(body: str) -> str:
-    """Lower case where that changes no id: the tokenizer does it too, but not to special tokens."""
-    return body.lower() if body.isascii() and "<|" not in body else body
-
-
-def slices(body: str) -> Iterator[str]:
-    """Parts of at least SLICE characters that end before a space or line end."""
-    at = 0
-    while at < len(body):
-        ends = [e for e in (body.find(" ", at + SLICE), body.find("\n", at + SLICE)) if e >= 0]
-        end = min(ends, default=len(body))
-        yield body[at:end]
-        at = end
-
-
 def cost(n):
     return LINEAR * n + QUADRATIC * n * n
 
