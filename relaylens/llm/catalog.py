@@ -7,7 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from relaylens.llm import cross_parsing, order_minhash, packing, superkmer_dedup
+from relaylens.llm import (
+    cross_parsing, order_minhash, packing, snapshot_collapse, splitter_sharding, superkmer_dedup,
+    url_markov,
+)
 from relaylens.llm.common import table
 from relaylens.session import configure
 
@@ -33,12 +36,34 @@ def op1(spark, sf):
     return packing.pack(table(spark, sf, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+#: Verdict, host, path.
+URL_RULES = [
+    ("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"),
+    ("block", "net", "/es/"), ("block", "net", "/fr/"),
+]
+
+
+@entry("op2_url_markov_ratio")
+def op2(spark, sf):
+    return url_markov.judge(table(spark, sf, "pages"), URL_RULES)
+
+
 @entry("op3_order_minhash")
 def op3(spark, sf):
     return order_minhash.dedup(table(spark, sf, "documents")).withColumn(
         "kept", F.col("doc_id") == F.col("class_id"))
 
 
+@entry("op6_splitter_sharding")
+def op6(spark, sf):
+    return splitter_sharding.shard(table(spark, sf, "documents"))
+
+
+@entry("op7_snapshot_collapse", snapshot_collapse.ORACLE)
+def op7(spark, sf):
+    return snapshot_collapse.collapse(table(spark, sf, "conversations"))
+
+
 def held_out():
     return F.crc32(F.col("doc_id").cast("string")) % 4 == 2
 
