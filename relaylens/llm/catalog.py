@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from relaylens.llm import (
-    cross_parsing, order_minhash, packing, snapshot_collapse, splitter_sharding, superkmer_dedup,
-    url_markov,
+    cross_parsing, hyperplane_dedup, merge_dropout, order_minhash, packing, quartile_digest,
+    snapshot_collapse, splitter_sharding, superkmer_dedup, url_markov,
 )
 from relaylens.llm.common import table
 from relaylens.session import configure
@@ -54,6 +54,16 @@ def op3(spark, sf):
         "kept", F.col("doc_id") == F.col("class_id"))
 
 
+@entry("op4_quartile_digest")
+def op4(spark, sf):
+    return quartile_digest.with_edited(table(spark, sf, "documents"))
+
+
+@entry("op5_hyperplane_dedup")
+def op5(spark, sf):
+    return hyperplane_dedup.dedup(table(spark, sf, "embeddings"))
+
+
 @entry("op6_splitter_sharding")
 def op6(spark, sf):
     return splitter_sharding.shard(table(spark, sf, "documents"))
@@ -80,3 +90,15 @@ def op8(spark, sf):
 def op9(spark, sf):
     return superkmer_dedup.remove_repeats(table(spark, sf, "documents")).select(
         "doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
+@entry("op10_merge_dropout")
+def op10(spark, sf):
+    import public_tokenizers
+
+    model = public_tokenizers.path("piece_bpe_32k.model")
+    encoded = merge_dropout.encode(table(spark, sf, "documents"), model).withColumn(
+        "n_ids", F.size("ids").cast("long"))
+    kept = ("doc_id", "variant", "n_ids", "ids_crc32", "text_sha256")
+    return merge_dropout.decode(encoded, model, kept).select(
+        *kept, F.sha2("text", 256).alias("decoded_sha256"))

@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from relaylens.llm.common import written
+from relaylens.llm.common import range_of, written
 
 SHARDS = 24
 RECORDS_PER_RANGE = 1_000_000
@@ -32,23 +32,6 @@ WHOLE_GROUP = 0.002
 HEADER = 8
 
 
-def _range_of(key: Column, splitters: list[int]) -> Column:
-    """Number of splitters up to ``key``, by binary search in a constant array."""
-    if not splitters:
-        return F.lit(0)
-    bounds = F.lit(splitters)
-    start = F.struct(F.lit(0).alias("lo"), F.lit(len(splitters)).alias("hi"))
-
-    def halve(s: Column, _: Column) -> Column:
-        middle = F.floor((s["lo"] + s["hi"]) / 2).cast("int")
-        below = (s["lo"] < s["hi"]) & (F.get(bounds, middle) <= key)
-        return F.struct(F.when(below, middle + 1).otherwise(s["lo"]).alias("lo"),
-                        F.when(below, s["hi"]).otherwise(F.least(s["hi"], middle)).alias("hi"))
-
-    steps = F.array_repeat(F.lit(0), len(splitters).bit_length())
-    return F.aggregate(steps, start, halve, lambda s: s["lo"])
-
-
 def _part(by: str, parts: Column) -> Column:
     return F.pmod(F.xxhash64(by, F.lit("part")), parts).cast("int")
 
@@ -68,7 +51,7 @@ def shard(docs: DataFrame, shards: int = SHARDS, doc_id: str = "doc_id", text: s
     drawn = sized.where(draw < F.col("size") * (DRAWS_PER_RANGE * ranges / total))
     found = drawn.agg(F.percentile_approx(
         "key", [i / ranges for i in range(1, ranges)], 100 * ranges).alias("q")).first()["q"]
-    keyed = sized.withColumn("range", _range_of(F.col("key"), sorted(set(found or []))))
+    keyed = sized.withColumn("range", range_of(F.col("key"), sorted(set(found or []))))
 
     heavy = keyed.groupBy("key").agg(F.sum("size").alias("heavy")).where(F.col("heavy") > share) \
         .withColumnRenamed("key", "_key")
