@@ -3,10 +3,10 @@ passages, and packing.  Each stage takes (spark, docs, sf_dir) and returns a Dat
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from relaylens.llm import catalog, cross_parsing, packing
+from relaylens.llm import catalog, cross_parsing, order_minhash, packing, superkmer_dedup
 from relaylens.llm.common import written
 from relaylens.session import configure
 
@@ -21,6 +21,26 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
         "lang", F.coalesce("lang", "lang_pred")).select(*COLUMNS)
 
 
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps the document with the smallest id of each class of near duplicates, once."""
+    stays = order_minhash.dedup(docs).where(F.col("doc_id") == F.col("class_id")).select(
+        F.col("doc_id").alias("_stays")).distinct()
+    nth = F.row_number().over(Window.partitionBy("doc_id").orderBy("doc_id"))
+    known = docs.join(stays, F.col("doc_id") == F.col("_stays"), "left_semi")
+    return known.withColumn("_nth", nth).where(F.col("_nth") == 1).select(*COLUMNS).unionByName(
+        docs.where(F.col("doc_id").isNull()).select(*COLUMNS))
+
+
+def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Cuts passages that stand in an earlier document too; documents that lose all words go."""
+    cut = superkmer_dedup.remove_repeats(docs, keep=("lang", "source", "n_chars"), join_untouched=False)
+    changed = F.col("n_removed") > 0
+    return cut.where(~changed | (F.col("n_removed") < F.col("n_words"))).select(
+        "doc_id", F.col("kept_text").alias("text"), "kept.lang", "kept.source",
+        F.when(changed, F.length("kept_text")).otherwise(F.col("kept.n_chars")).cast("long")
+        .alias("n_chars"))
+
+
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Packs what is left into training sequences."""
     import public_tokenizers
@@ -28,7 +48,8 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 
-STAGES = [("language", language), ("packing", pack)]
+STAGES = [("language_id", language), ("near_dedup", near_dedup), ("substring_dedup", substring_dedup),
+          ("packing", pack)]
 
 # Neither a suffix automaton nor a tokenizer can be said in SQL.
 ORACLE_SQL = None

@@ -178,28 +178,38 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield _batch(repeated(held) if len(held) > 1 else [], _RANGES)
 
 
-def _cut(ids, bodies, whole, ranges) -> list[tuple]:
-    out = []
-    for i, body, all_, spans in zip(ids, bodies, whole, ranges, strict=True):
-        parts = split(body or "")
-        n = len(parts)
-        if all_ and n >= WINDOW:
-            parts = []
-        elif spans:
-            change = np.zeros(n + 1, np.int64)
-            np.add.at(change, [s["first"] for s in spans], 1)
-            np.add.at(change, [s["last"] + WINDOW for s in spans], -1)
-            parts = list(compress(parts, (np.cumsum(change[:-1]) == 0).tolist()))
-        out.append((i, n, n - len(parts), " ".join(parts)))
-    return out
+def _cutter(join_untouched: bool):
+    def cut(ids, bodies, kept, whole, ranges) -> list[tuple]:
+        out = []
+        for i, body, k, all_, spans in zip(ids, bodies, kept, whole, ranges, strict=True):
+            parts = split(body or "")
+            n = len(parts)
+            if all_ and n >= WINDOW:
+                parts = []
+            elif spans:
+                change = np.zeros(n + 1, np.int64)
+                np.add.at(change, [s["first"] for s in spans], 1)
+                np.add.at(change, [s["last"] + WINDOW for s in spans], -1)
+                parts = list(compress(parts, (np.cumsum(change[:-1]) == 0).tolist()))
+            text = " ".join(parts) if join_untouched or len(parts) < n else body
+            out.append((i, n, n - len(parts), text, k))
+        return out
 
+    return cut
 
-def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``doc_id``, ``n_words``, ``n_removed``, ``kept_text`` (kept words, one space apart)."""
+
+def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
+                   keep: tuple[str, ...] = (), join_untouched: bool = True) -> DataFrame:
+    """``doc_id``, ``n_words``, ``n_removed``, ``kept_text`` (kept words, one space apart) and the
+    struct ``kept`` of the columns ``keep``.
+
+    Without ``join_untouched`` a text that loses no word is kept as it is.
+    """
     docs = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"),
-                       F.col(f"`{text}`").alias("text"))
+                       F.col(f"`{text}`").alias("text"),
+                       F.struct(F.lit(0).alias("_"), *(F.col(f"`{c}`") for c in keep)).alias("kept"))
     schema = "doc_id long, key binary, n_words int, minimisers array<long>"
-    rows = written(docs.where(F.col("doc_id").isNotNull()).mapInArrow(
+    rows = written(docs.where(F.col("doc_id").isNotNull()).select("doc_id", "text").mapInArrow(
         arrow_rows(profile, schema), schema).where(F.col("n_words") >= WINDOW), "minimisers")
     reps = rows.groupBy("key").agg(F.min("doc_id").alias("rep"), F.first("minimisers").alias("minimisers"))
     places = reps.select("rep", F.explode("minimisers").alias("bucket"))
@@ -229,6 +239,7 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
         F.max("whole").alias("whole"),
         F.collect_list(F.when(~F.col("whole"), F.struct("first", "last"))).alias("ranges"))
     joined = docs.join(removed, F.col("doc_id") == F.col("_rep"), "left").select(
-        "doc_id", "text", F.coalesce("whole", F.lit(False)).alias("whole"), "ranges")
-    schema = "doc_id long, n_words long, n_removed long, kept_text string"
-    return joined.mapInArrow(arrow_rows(_cut, schema), schema)
+        "doc_id", "text", "kept", F.coalesce("whole", F.lit(False)).alias("whole"), "ranges")
+    schema = ("doc_id long, n_words long, n_removed long, kept_text string, "
+              f"kept {docs.schema['kept'].dataType.simpleString()}")
+    return joined.mapInArrow(arrow_rows(_cutter(join_untouched), schema), schema)
