@@ -84,7 +84,8 @@ def profile(ids: list, bodies: list) -> list[tuple]:
 def _packed(names: list[str]):
     """mapInArrow: the packed super-k-mers, or single windows, that a document sends to buckets."""
     schema = pa.schema([("bucket", pa.int64()), ("digest", pa.binary()), ("rep", pa.int64()),
-                        ("start", pa.int64()), ("windows", pa.int32()), ("packed", pa.binary())])
+                        ("starts", pa.list_(pa.int64())), ("windows", pa.int32()),
+                        ("packed", pa.binary())])
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -96,20 +97,28 @@ def _packed(names: list[str]):
                 starts, ends = words.spans(data)
                 first, count, mins = super_kmers(words.hashes(data, starts, ends))
                 is_hot = np.isin(mins, hot)
-                parts = None
-                for k in np.flatnonzero(is_hot | np.isin(mins, cold)).tolist():
-                    parts = parts or [data[s:e] for s, e in zip(starts.tolist(), ends.tolist(), strict=True)]
+                chosen = np.flatnonzero(is_hot | np.isin(mins, cold)).tolist()
+                if not chosen:
+                    continue
+                parts = [data[s:e] for s, e in zip(starts.tolist(), ends.tolist(), strict=True)]
+                # What a document repeats travels once, with all its places.
+                strings: dict[tuple[int, int, bytes], list[int]] = {}
+                digests: dict[bytes, list[int]] = {}
+                for k in chosen:
                     f, n = int(first[k]), int(count[k])
                     if not is_hot[k]:
-                        rows.append((int(mins[k]), None, i, f, n, b" ".join(parts[f:f + n + WINDOW - 1])))
-                        held += len(rows[-1][5])
-                    else:
-                        rows += [(None, hashlib.blake2b(b" ".join(parts[w:w + WINDOW]), digest_size=16)
-                                  .digest(), i, w, 1, None) for w in range(f, f + n)]
-                        held += 60 * n
-                    if held > 1 << 24:
-                        yield _batch(rows, schema)
-                        rows, held = [], 0
+                        packed = b" ".join(parts[f:f + n + WINDOW - 1])
+                        strings.setdefault((int(mins[k]), n, packed), []).append(f)
+                        continue
+                    for w in range(f, f + n):
+                        window = hashlib.blake2b(b" ".join(parts[w:w + WINDOW]), digest_size=16)
+                        digests.setdefault(window.digest(), []).append(w)
+                rows += [(b, None, i, places, n, packed) for (b, n, packed), places in strings.items()]
+                rows += [(None, d, i, places, 1, None) for d, places in digests.items()]
+                held += sum(len(packed) for _, _, packed in strings) + 60 * len(digests)
+                if held > 1 << 24:
+                    yield _batch(rows, schema)
+                    rows, held = [], 0
             yield _batch(rows, schema)
 
     return send
@@ -121,24 +130,23 @@ def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
         [pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
 
 
-def repeated(rows: list[tuple[int, int, int, bytes]]) -> list[tuple[int, int, int]]:
+def repeated(rows: list[tuple[int, list[int], int, bytes]]) -> list[tuple[int, int, int]]:
     """(rep, first, last) of the windows in one bucket that also start in a smaller document.
 
-    ``rows`` are (rep, start, windows, packed) of one bucket.
+    ``rows`` are (rep, starts, windows, packed) of one bucket.
     """
-    kinds: dict[bytes, list[tuple[int, int, int]]] = {}
-    for rep, start, n, packed in rows:
-        kinds.setdefault(packed, []).append((rep, start, n))
-    out = []
+    kinds: dict[bytes, list[tuple[int, list[int], int]]] = {}
+    for rep, starts, n, packed in rows:
+        kinds.setdefault(packed, []).append((rep, starts, n))
     if len(kinds) == 1:
-        for places in kinds.values():
-            least = min(places)[0]
-            out = [(rep, start, start + n - 1) for rep, start, n in places if rep > least]
-        return out
+        (places,) = kinds.values()
+        least = min(rep for rep, _, _ in places)
+        return [(rep, start, start + n - 1) for rep, starts, n in places if rep > least
+                for start in starts]
     windows: list[tuple[bytes, int, int, int]] = []
     for k, (packed, places) in enumerate(kinds.items()):
         s, e = words.spans(packed)
-        s, e, least = s.tolist(), e.tolist(), min(places)[0]
+        s, e, least = s.tolist(), e.tolist(), min(rep for rep, _, _ in places)
         windows += [(packed[s[w]:e[w + WINDOW - 1]], least, k, w) for w in range(places[0][2])]
     windows.sort()
     least_at: list[list[int]] = [[0] * places[0][2] for places in kinds.values()]
@@ -147,15 +155,16 @@ def repeated(rows: list[tuple[int, int, int, bytes]]) -> list[tuple[int, int, in
         if window != before:
             before, least = window, rep
         least_at[k][w] = least
+    out = []
     for places, leasts in zip(kinds.values(), least_at, strict=True):
-        for rep, start, n in places:
+        for rep, starts, n in places:
             w = 0
             while w < n:
                 if leasts[w] < rep:
                     first = w
                     while w < n and leasts[w] < rep:
                         w += 1
-                    out.append((rep, start + first, start + w - 1))
+                    out += [(rep, start + first, start + w - 1) for start in starts]
                 w += 1
     return out
 
@@ -222,15 +231,15 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         F.collect_set(F.when(F.col("n") > HOT, F.col("bucket"))).alias("hot"))
     sending = docs.join(shared, F.col("doc_id") == F.col("_rep"))
     sent = written(sending.mapInArrow(
-        _packed(sending.columns), "bucket long, digest binary, rep long, start long, windows int, "
-                                  "packed binary"), "windows")
-    cold = sent.where(F.col("packed").isNotNull()).select("bucket", "rep", "start", "windows", "packed")
+        _packed(sending.columns), "bucket long, digest binary, rep long, starts array<long>, "
+                                  "windows int, packed binary"), "windows")
+    cold = sent.where(F.col("packed").isNotNull()).select("bucket", "rep", "starts", "windows", "packed")
     ranges = cold.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(
         _count, "rep long, first long, last long")
-    hot = sent.where(F.col("digest").isNotNull()).select("digest", "rep", "start")
+    hot = sent.where(F.col("digest").isNotNull()).select("digest", "rep", "starts")
     least = hot.groupBy("digest").agg(F.min("rep").alias("least")).withColumnRenamed("digest", "_digest")
     single = hot.join(least, F.col("digest") == F.col("_digest")).where(F.col("least") < F.col("rep")) \
-        .select("rep", F.col("start").alias("first"), F.col("start").alias("last"))
+        .select("rep", F.explode("starts").alias("first")).withColumn("last", F.col("first"))
     copies = rows.join(reps.select(F.col("key").alias("_key"), "rep"), F.col("key") == F.col("_key")) \
         .where(F.col("doc_id") > F.col("rep")).select(F.col("doc_id").alias("rep"))
     removed = ranges.unionByName(single).withColumn("whole", F.lit(False)).unionByName(
