@@ -7,7 +7,7 @@ variant is one of ``VARIANTS`` by a hash of the document's id, so the same docum
 alike and different documents segment the same word in different ways.  With rate 0 the ids are
 those of the sentencepiece library.
 
-* Row by row, without a shuffle.  A segment's ids depend on seed, variant and segment alone and are
+* Row by row, without a shuffle.  The agendas of many segments advance together, as rows of a matrix.  A segment's ids depend on seed, variant and segment alone and are
   remembered in a bounded table in each worker.
 * Characters without a piece become their UTF-8 bytes, also the mark that stands for a space, so
   decoding gives back every text.
@@ -29,11 +29,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from relaylens.llm.common import arrow_rows, texts
+from relaylens.llm.pair_merges import PAD, PairTable, cut, merge
+from relaylens.llm.words import mix
 
 RATE = 0.1
 SEED = 7
 VARIANTS = 8
-REMEMBERED = 150_000
+REMEMBERED = 60_000
+LONGEST = 32  # characters of a segment in the matrix
 _MASK = (1 << 64) - 1
 
 
@@ -66,6 +69,16 @@ class Pieces:
                 self.ids[piece] = i
                 self.ranks[piece] = (-model.get_score(i), i)
                 self.text.append(piece)
+        # Symbol of each character: its piece, or its byte; PAD if it takes several bytes.
+        self.symbols = np.full(0x110000, PAD, np.uint32)
+        self.symbols[:128] = self.bytes[:128]
+        for piece, i in self.ids.items():
+            if len(piece) == 1:
+                self.symbols[ord(piece)] = i
+        order = {score: k for k, score in enumerate(sorted({score for score, _ in self.ranks.values()}))}
+        pairs = [(self.ids[p[:k]], self.ids[p[k:]], order[score], i) for p, (score, i) in self.ranks.items()
+                 for k in range(1, len(p)) if p[:k] in self.ids and p[k:] in self.ids]
+        self.table = PairTable(*map(list, zip(*pairs, strict=True)))
 
 
 class Encoder:
@@ -73,13 +86,17 @@ class Encoder:
         self.pieces, self.seed, self.variants = pieces, seed, variants
         self.limit = int(rate * (1 << 64))
         self.known: list[dict[str, bytes]] = [{} for _ in range(variants)]
+        self.keys = np.array([self._key(v) for v in range(variants)], np.uint64)
 
     def variant(self, doc_id: int | None) -> int:
         return 0 if doc_id is None else mixed(mixed(self.seed + 1) ^ doc_id & _MASK) % self.variants
 
+    def _key(self, variant: int) -> int:
+        return mixed(mixed(self.seed + 1) + variant + 1)
+
     def segment(self, segment: str, variant: int) -> list[int]:
         ranks, limit = self.pieces.ranks, self.limit
-        key = mixed(mixed(self.seed + 1) + variant + 1)
+        key = self._key(variant)
         symbols: list[str] = list(segment)
         n = len(symbols)
         after = list(range(1, n + 1))
@@ -122,23 +139,49 @@ class Encoder:
                     out.append(i)
         return out
 
-    def encode(self, text: str, variant: int) -> bytes:
-        """Ids as little-endian 32-bit bytes."""
-        if not text:
-            return b""
-        known = self.known[variant]
-        words = split(text)
-        found = list(map(known.get, words))
-        if None in found:
+    def _learn(self, wanted: list[tuple[int, str]]) -> None:
+        """Segments of (variant, word); short ones of known characters as one matrix."""
+        wanted.sort(key=lambda x: len(x[1]))
+        for low in range(0, len(wanted), 8192):
+            part = wanted[low:low + 8192]
+            words = [f" {word}" for _, word in part]
+            length = np.fromiter(map(len, words), np.int64, len(words))
+            symbols = self.pieces.symbols[np.frombuffer(
+                "".join(words).encode("utf-32-le", "surrogatepass"), np.uint32)]
+            plain = np.minimum.reduceat(symbols != PAD, np.cumsum(length) - length) & (length <= LONGEST)
+            for k in np.flatnonzero(~plain).tolist():
+                variant, word = part[k]
+                self.known[variant][word] = array("I", self.segment(words[k], variant)).tobytes()
+            if not plain.any():
+                continue
+            symbols = symbols[np.repeat(plain, length)]
+            part, length = [x for x, p in zip(part, plain.tolist(), strict=True) if p], length[plain]
+            grid = np.full((len(part), int(length.max()) + 1), PAD, np.uint32)
+            grid[np.arange(grid.shape[1]) < length[:, None]] = symbols
+            keys = self.keys[[variant for variant, _ in part]]
+
+            def skip(rows, places, results, keys=keys):
+                x = keys[rows] ^ results.astype(np.uint64) << np.uint64(32) ^ places.astype(np.uint64)
+                return mix(x) < np.uint64(self.limit)
+
+            found = cut(merge(self.pieces.table, grid, skip if 0 < self.limit <= _MASK else None))
+            for (variant, word), data in zip(part, found, strict=True):
+                self.known[variant][word] = data
+
+    def encode_all(self, texts_: list[str], kinds: list[int]) -> list[bytes]:
+        """Ids of each text under its variant, as little-endian 32-bit bytes."""
+        for known in self.known:
             if len(known) > REMEMBERED:
                 known.clear()
-            for k, word in enumerate(words):
-                if found[k] is None:
-                    ids = known.get(word)
-                    if ids is None:
-                        ids = known[word] = array("I", self.segment(" " + word, variant)).tobytes()
-                    found[k] = ids
-        return b"".join(found)
+        words = [split(t) if t else [] for t in texts_]
+        new: list[set[str]] = [set() for _ in self.known]
+        for ws, variant in zip(words, kinds, strict=True):
+            new[variant].update(ws)
+        self._learn([(v, w) for v, met in enumerate(new) for w in met.difference(self.known[v])])
+        return [b"".join(map(self.known[v].__getitem__, ws)) for ws, v in zip(words, kinds, strict=True)]
+
+    def encode(self, text: str, variant: int) -> bytes:
+        return self.encode_all([text], [variant])[0]
 
 
 def split(text: str) -> list[str]:
@@ -182,7 +225,7 @@ def encode(docs: DataFrame, model: str, rate: float = RATE, seed: int = SEED, va
         for batch in batches:
             who, bodies = (c.to_pylist() for c in batch.columns)
             kinds = [encoder.variant(i) for i in who]
-            ids = [encoder.encode(b, v) for b, v in zip(bodies, kinds, strict=True)]
+            ids = encoder.encode_all(bodies, kinds)
             offsets = np.cumsum([0, *(len(x) // 4 for x in ids)]).astype(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(
                 np.frombuffer(b"".join(ids), np.int32)))

@@ -14,12 +14,11 @@ from collections.abc import Iterator
 
 import numpy as np
 
+from relaylens.llm.pair_merges import PAD, PairTable, cut, merge
+
 REMEMBERED = 200_000
 SLICE = 1 << 20
 LONGEST = 24  # bytes of a run of letters in the matrix
-_NONE = np.int32(1 << 30)
-_PAD = np.uint32(0xFFFF)
-_TABLE = 20
 _LETTERS = "a-zß-öø-ɏ"  # lower case, stable under NFC, and letters in every sense
 #: Letters with other ASCII marks around; digits and the apostrophe have rules of their own.
 _PLAIN = re.compile(f"([!-&(-/:-@\\[-`{{-~]*)([{_LETTERS}]+)([!-&(-/:-@\\[-`{{-~]*)")
@@ -41,69 +40,17 @@ class Merges:
         self.inner = np.array([vocab[s] for s in symbols], np.uint32)
         self.last = np.array([vocab[s + end] for s in symbols], np.uint32)
         pairs = [m if isinstance(m, list) else m.split(" ") for m in model["merges"]]
-        keys = np.array([vocab[a] << 16 | vocab[b] for a, b in pairs], np.uint32)
-        self.merged = np.array([vocab[a + b] for a, b in pairs], np.uint32)
-        self.keys = np.full(1 << _TABLE, 0xFFFFFFFF, np.uint32)
-        self.ranks = np.full(1 << _TABLE, _NONE, np.int32)
-        self.probes, left = 0, np.arange(len(keys))
-        while len(left):
-            slot = self._slot(keys[left], self.probes)
-            free = self.keys[slot] == 0xFFFFFFFF
-            _, first = np.unique(slot, return_index=True)
-            take = np.zeros(len(left), bool)
-            take[first] = True
-            take &= free
-            self.keys[slot[take]], self.ranks[slot[take]] = keys[left[take]], left[take]
-            left, self.probes = left[~take], self.probes + 1
-
-    @staticmethod
-    def _slot(keys: np.ndarray, probe: int) -> np.ndarray:
-        return ((keys * np.uint32(0x9E3779B1) >> np.uint32(32 - _TABLE)) + np.uint32(probe)) & np.uint32(
-            (1 << _TABLE) - 1)
-
-    def _rank(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
-        keys = left << np.uint32(16) | right
-        slot = self._slot(keys, 0)
-        out = np.where(self.keys[slot] == keys, self.ranks[slot], _NONE)
-        for probe in range(1, self.probes):
-            slot = self._slot(keys, probe)
-            out = np.minimum(out, np.where(self.keys[slot] == keys, self.ranks[slot], _NONE))
-        return out
-
-    def encode(self, runs: list[bytes]) -> Iterator[bytes]:
+        self.table = PairTable([vocab[a] for a, _ in pairs], [vocab[b] for _, b in pairs],
+                               list(range(len(pairs))), [vocab[a + b] for a, b in pairs])
+
+    def encode(self, runs: list[bytes]) -> list[bytes]:
         """Ids, as little-endian 32-bit bytes, of runs of letters of at most LONGEST bytes."""
         length = np.fromiter(map(len, runs), np.int64, len(runs))
-        width = int(length.max()) + 1
-        inside = np.arange(width) < length[:, None]
-        grid = np.full((len(runs), width), _PAD, np.uint32)
+        grid = np.full((len(runs), int(length.max()) + 1), PAD, np.uint32)
         data = np.frombuffer(b"".join(runs), np.uint8)
-        grid[inside] = self.inner[data]
-        rows = np.arange(len(runs))
-        grid[rows, length - 1] = self.last[data[np.cumsum(length) - 1]]
-        ranks = self._rank(grid[:, :-1], grid[:, 1:])
-        out, active, at = grid.copy(), rows, np.arange(width)
-        while True:
-            best = ranks.argmin(axis=1)
-            least = ranks[np.arange(len(active)), best]
-            go = least < _NONE
-            out[active[~go]] = grid[~go]
-            if not go.any():
-                break
-            active, grid, ranks, best, least = active[go], grid[go], ranks[go], best[go], least[go]
-            n = np.arange(len(active))
-            shifted = np.concatenate([grid[:, 1:], np.full((len(n), 1), _PAD)], axis=1)
-            grid = np.where(at > best[:, None], shifted, grid)
-            grid[n, best] = self.merged[least]
-            moved = np.concatenate([ranks[:, 1:], np.full((len(n), 1), _NONE)], axis=1)
-            ranks = np.where(at[:-1] > best[:, None], moved, ranks)
-            ranks[n, best] = self._rank(grid[n, best], grid[n, np.minimum(best + 1, width - 1)])
-            before = np.maximum(best - 1, 0)
-            ranks[n, before] = np.where(best > 0, self._rank(grid[n, before], grid[n, before + 1]),
-                                        ranks[n, before])
-        count = (out != _PAD).sum(axis=1).tolist()
-        data = out.astype("<u4").tobytes()
-        for i, n in enumerate(count):
-            yield data[4 * width * i:4 * (width * i + n)]
+        grid[np.arange(grid.shape[1]) < length[:, None]] = self.inner[data]
+        grid[np.arange(len(runs)), length - 1] = self.last[data[np.cumsum(length) - 1]]
+        return cut(merge(self.table, grid))
 
 
 class Encoder:
