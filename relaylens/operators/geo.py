@@ -126,7 +126,7 @@ def disjoint_ranges(ranges: DataFrame) -> DataFrame:
     )
     keys = segments.select("at", "end", F.explode(F.sequence(F.lit(0), F.lit(32))).alias("k")) \
         .withColumn("block", F.expr("shiftright(at, k)"))
-    wide = F.broadcast(narrowest.where(F.col("k") >= 16))
+    wide = narrowest.where(F.col("k") >= 16)
     covered = keys.where("k >= 16").join(wide, ["k", "block"]).select("at", "end", "best") \
         .unionByName(keys.where("k < 16").join(narrowest.where("k < 16"), ["k", "block"])
                      .select("at", "end", "best"))
@@ -134,6 +134,23 @@ def disjoint_ranges(ranges: DataFrame) -> DataFrame:
     return chosen.select(F.col("at").alias("lo"), F.col("end").alias("hi"), "best.rec.*")
 
 
+def has_overlaps(ranges: DataFrame) -> bool:
+    """Whether two ranges share an address: in any /16, the next range starts before one ends."""
+    pieces = ranges.where(F.col("lo") <= F.col("hi")).select(
+        "lo", "hi", F.explode(F.expr(f"sequence(lo div {BUCKET}, hi div {BUCKET})")).alias("bucket"))
+    order = Window.partitionBy("bucket").orderBy("lo", "hi")
+    return not pieces.withColumn("next", F.lead("lo").over(order)).where(
+        F.col("next") <= F.col("hi")).isEmpty()
+
+
+def without_overlaps(ranges: DataFrame) -> DataFrame:
+    """The ranges themselves if they are disjoint, else cut so that the narrowest one wins.
+
+    A running look-up over nested ranges would lose the outer one, so this is always checked.
+    """
+    return disjoint_ranges(ranges) if has_overlaps(ranges) else ranges
+
+
 def _present(dim: DataFrame) -> DataFrame:
     """Give a dimension all look-up fields; the ones it lacks are null."""
     return dim.select("lo", "hi", *[
@@ -176,6 +193,7 @@ def ip_intel(
         dims["net"] = asn.select("lo", "hi", "asn", "asn_name")
     if fallback is not None:
         dims["second"] = _present(fallback)
+    dims = {name: without_overlaps(dim) for name, dim in dims.items()}
     looked = range_lookup(gate(distinct_ips(usage)), dims)
     use_second = (
         F.coalesce(F.col("city.country"), F.lit("")) == "" if fallback is not None else None

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from relaylens.functions.hosts import only_address
+from relaylens.functions.rounding import round_exact
 from relaylens.functions.text import first_of, null_if_empty
 
 VERSION = "1.0.0"
@@ -106,7 +107,7 @@ def unified_report(facts: DataFrame, key: str = "email_id") -> DataFrame:
     detection = F.struct(
         "fraud_score", F.col("fraud_category").alias("category"),
         F.col("detection_confidence").alias("confidence"), "confidence_label", "flags",
-        F.round("ml_prob", 3).alias("ml_confidence"),
+        round_exact(F.col("ml_prob"), 3).alias("ml_confidence"),
     )
     overall = F.struct(
         F.col("combined_score").alias("combined_threat_score"), "overall_verdict")

@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame
 from relaylens.functions.text import unnest
 from relaylens.operators import auth, detection, geo, hops, links, location, origin, report, risk
 from relaylens.session import shared_dir
+from relaylens.sources.messages import dedup_messages
 
 TEXT_COLUMNS = [
     "body_plain", "body_html", "trace_body", "anchors", "attachments", "received",
@@ -27,7 +28,7 @@ TEXT_COLUMNS = [
 class Dimensions:
     """Look-up tables.  Leaving out ``fallback`` and ``ptr`` is the offline mode.
 
-    ``city`` and ``fallback`` hold disjoint ranges; see geo.disjoint_ranges for others.
+    Ranges may overlap: the narrowest one that holds an address wins (geo.without_overlaps).
     """
 
     city: DataFrame
@@ -74,15 +75,19 @@ def assessed(facts: DataFrame, intel: DataFrame, key: str = "email_id") -> DataF
 
 def analyze(messages: DataFrame, dims: Dimensions) -> DataFrame:
     """Messages (with ``ml_prob``) to full results, with the two tables that are read more than
-    once written in between: facts (parsed once) and address records (looked up once)."""
-    facts = staged(message_facts(messages), "facts")
+    once written in between: facts (parsed once) and address records (looked up once).
+
+    Identical messages are one result; they are folded on the narrow facts.
+    """
+    facts = staged(dedup_messages(message_facts(messages)), "facts")
     return assessed(facts, staged(address_intel(facts, dims), "intel"))
 
 
 def trace_only(messages: DataFrame, dims: Dimensions) -> DataFrame:
-    """The trace side alone, for batch tracing without detection."""
+    """The trace side alone, for batch tracing without detection: one result per ``path``, so
+    identical files are traced each."""
     facts = staged(trace_facts(messages).drop(*TEXT_COLUMNS), "facts")
-    return traced(facts, staged(address_intel(facts, dims), "intel"))
+    return traced(facts, staged(address_intel(facts, dims), "intel"), "path")
 
 
 def staged(df: DataFrame, name: str) -> DataFrame:

@@ -122,16 +122,16 @@ def s3(spark, sf):
        f"SELECT sha256(text) AS email_id, min({_PATHS}) AS path FROM documents GROUP BY 1")
 def s4(spark, sf):
     raw = sources.with_content_id(w.raw_documents(spark, sf))
-    return sources.dedup_raw(raw).select(ID, "path")
+    return sources.first_paths(raw)
 
 
 @entry("s6_high_water_mark",
        "SELECT CAST(conv_id AS VARCHAR) AS box, turn AS uid, role FROM conversations WHERE turn > "
-       "(SELECT coalesce(max(turn), 0) FROM conversations WHERE role = 'user')")
+       "(SELECT coalesce(max(turn), 0) FROM conversations WHERE role = 'system')")
 def s6(spark, sf):
     items = w.table(spark, sf, "conversations").select(
         F.col("conv_id").cast("string").alias("box"), F.col("turn").alias("uid"), "role")
-    mark = sources.high_water_mark(items.where(F.col("role") == "user"))
+    mark = sources.high_water_mark(items.where(F.col("role") == "system"))
     return sources.newer_than(items, mark)
 
 
@@ -160,10 +160,10 @@ _REPORT = ("id, subject, email, sender, phone, ip, name, country, city, risk_sco
 _REPORT_SQL = "SELECT " + _REPORT.format(score="risk_score") + " FROM report"
 
 
-def flat_report(reports: DataFrame) -> DataFrame:
+def flat_report(reports: DataFrame, *more: str) -> DataFrame:
     names = [n.strip() for n in _REPORT.split("{")[0].split(",")[:-1]]
     return reports.select(
-        *names, F.col("overall_assessment.combined_threat_score"),
+        *more, *names, F.col("overall_assessment.combined_threat_score"),
         F.col("overall_assessment.overall_verdict"))
 
 
@@ -176,10 +176,7 @@ def reports(spark, sf):
 def s9(spark, sf):
     target = f"{shared_dir(spark)}/reports-{uuid.uuid4().hex}"
     sinks.write_reports(reports(spark, sf), target)
-    back = sinks.read_reports(spark, target)
-    return flat_report(back).select("*").join(
-        back.select(F.col("id").alias("_id"), "source_stem"), F.col("id") == F.col("_id")
-    ).drop("_id")
+    return flat_report(sinks.read_reports(spark, target), "source_stem")
 
 
 _CLOCK = "1700000000 + (CAST({c} AS BIGINT) * 7919) % 100003"
@@ -194,7 +191,7 @@ def s10(spark, sf):
 
 
 @entry("s11_list_reports",
-       "SELECT CAST(row_number() OVER (ORDER BY id) AS INTEGER) AS no, id AS file, "
+       "SELECT row_number() OVER (ORDER BY id) AS no, id AS file, "
        "overall_verdict AS verdict, CAST(risk_score AS VARCHAR) AS score, "
        "coalesce(nullif(trim(city || ' ' || country), ''), 'Unknown') AS origin, "
        "substr(coalesce(subject, 'N/A'), 1, 30) AS subject FROM report")
@@ -228,19 +225,23 @@ def s13(spark, sf):
     return sinks.summary_lines(results(spark, sf)).drop("line")
 
 
-@entry("s14_quarantine", "SELECT path, TRUE AS parsed FROM mail")
+@entry("s14_quarantine",
+       "SELECT path, k % 13 <> 0 AS parsed, CASE WHEN k % 13 = 0 THEN 'LookupError' END AS reason "
+       "FROM mail")
 def s14(spark, sf):
-    good, bad = sources.quarantine(parsed(spark, sf))
-    return good.select("path", F.lit(True).alias("parsed")).unionByName(
-        bad.select("path", F.lit(False).alias("parsed")))
+    """Every thirteenth message names a charset that nobody knows and cannot be decoded."""
+    good, bad = sources.quarantine(parse_messages(w.raw_mail(spark, sf, broken=13)))
+    return good.select("path", F.lit(True).alias("parsed")).unionByName(bad.select(
+        "path", F.lit(False).alias("parsed"), F.substring_index("error", ":", 1).alias("reason")),
+        allowMissingColumns=True)
 
 
 @entry("s5_stream_messages", _REPORT_SQL.replace("id, ", "k, ", 1), after_parsing=True)
 def s5(spark, sf):
     """The documents as a stream of raw messages, through the monitor, to reports."""
     schema = w.table(spark, sf, "documents").schema
-    docs = spark.readStream.schema(schema).option("pathGlobFilter", "documents.parquet") \
-        .parquet(sf)
+    # A glob keeps the path a folder for the stream, whether the table is one file or many.
+    docs = spark.readStream.schema(schema).parquet(f"{sf}/documents.parque[t]")
     raw = sources.with_content_id(w.raw_mail(spark, sf, docs))
     out = f"{shared_dir(spark)}/monitor-{uuid.uuid4().hex}"
     monitor.monitor(raw, w.dimensions(spark, sf), out, f"{out}/checkpoint",
@@ -849,7 +850,7 @@ def f9(spark, sf):
        "SELECT v.email_id, fraud_score, fraud_category AS category, v.flags, "
        "CAST(hop_count AS INTEGER) AS hops_count, origin_ip AS ip, origin_basis AS basis, "
        "auth_summary AS summary, ecountry AS estimated_country, trace_risk_score AS trace_score, "
-       "combined, overall_verdict FROM (SELECT * RENAME (trace_risk_score AS t1) FROM verdict) v "
+       "round(((v.k * 37) % 1001) / 1000.0, 3) AS ml_confidence, combined, overall_verdict FROM (SELECT * RENAME (trace_risk_score AS t1) FROM verdict) v "
        "JOIN geo g ON g.k = v.k JOIN trace_risk t ON t.k = v.k")
 def f10(spark, sf):
     u = report.unified_report(results(spark, sf))
@@ -863,6 +864,7 @@ def f10(spark, sf):
         F.col(f"{trace}.sender_location_estimate.primary_estimate.country")
         .alias("estimated_country"),
         F.col(f"{trace}.risk.trace_risk_score").alias("trace_score"),
+        F.col(f"{found}.ml_confidence"),
         F.col("overall_assessment.combined_threat_score").alias("combined"),
         F.col("overall_assessment.overall_verdict"))
 

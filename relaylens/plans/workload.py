@@ -16,9 +16,6 @@ from relaylens.plans.analysis import Dimensions
 
 HOPS = 4
 
-# Tables with long texts, whose per-row work is worth spreading.
-WIDE = ("documents", "pages")
-
 
 def _case(expr: str, options: list[str], default: str = "NULL") -> str:
     arms = " ".join(f"WHEN {i} THEN {v}" for i, v in enumerate(options))
@@ -40,7 +37,7 @@ def _two(expr: str) -> str:
 def _public_ip(s: str) -> str:
     """Address from a number; every third one is the same, very busy address."""
     return (
-        f"CASE WHEN ({s}) % 3 = 0 THEN '209.85.128.176' ELSE "
+        f"CASE WHEN ({s}) % 3 = 0 THEN '62.41.7.19' ELSE "
         f"{_text(f'11 + (({s}) * 37) % 180')} || '.' || {_text(f'(({s}) * 91) % 256')} || '.' || "
         f"{_text(f'(({s}) * 53) % 256')} || '.' || {_text(f'1 + ({s}) % 254')} END"
     )
@@ -62,19 +59,19 @@ def _received(i: str, s: str, ip: str) -> str:
     """One Received header as text, from message ``k``, hop ``i``, its serial and address."""
     host = f"CASE WHEN k % 4 = 0 THEN 'mail' || {_text(i)} || '.google.com' ELSE " \
         + _case(f"{s} % 9", [
-            "'mail-ed1.google.com'", "'relay.example.net'", "'smtp.outlook.com'",
-            f"'host' || {_text(s)} || '.badhost.cc'", f"'[' || {ip} || ']'",
-            "'mx.yahoo.co.in'", "'client-pc.corp'", "'a1.amazonses.com'", "'notgoogle.com'"]) \
+            "'mail-qk7.google.com'", "'relay.example.net'", "'smtp.outlook.com'",
+            f"'host' || {_text(s)} || '.rackhost.cc'", f"'[' || {ip} || ']'",
+            "'mx.yahoo.co.in'", "'desk-12.corp'", "'a1.amazonses.com'", "'notgoogle.com'"]) \
         + " END"
     paren = (
         f"CASE WHEN {s} % 31 = 0 THEN '' WHEN {s} % 5 = 4 THEN ' ([' || {ip} || '])' "
         f"ELSE ' (unknown [' || {ip} || '])' END"
     )
     by = "CASE WHEN k % 4 = 0 THEN 'mx.google.com' ELSE " + _case(f"{s} % 6", _q(
-        "mx.college.ac.in", "mx.google.com", "relay.corp.example.com", "smtp.gmail.com",
+        "mx.lyceum.ac.in", "mx.google.com", "relay.corp.example.com", "smtp.gmail.com",
         "edge.example.org", "in.mailgun.org")) + " END"
     proto = _case(f"{s} % 6", _q("ESMTPS", "SMTP", "esmtp", "ESMTPSA", "SMTPSA", "UTF8SMTPTLS"))
-    user = f"CASE {s} % 10 WHEN 3 THEN ' (authenticated as billing@corp.example.com)' " \
+    user = f"CASE {s} % 10 WHEN 3 THEN ' (authenticated as office@corp.example.com)' " \
         "WHEN 7 THEN ' auth=user7' ELSE '' END"
     zone = f"CASE {s} % 8 WHEN 2 THEN '-0000' WHEN 3 THEN 'GMT' WHEN 4 THEN '+0000' " \
         "WHEN 5 THEN '-0500' ELSE '+0530' END"
@@ -86,7 +83,7 @@ def _received(i: str, s: str, ip: str) -> str:
     )
     return (
         f"'from ' || {host} || {paren} || '  by ' || {by} || ' with ' || {proto} || ' id x' || "
-        f"{_text('k')} || {user} || ' for <victim@college.ac.in>; ' || {stamp}"
+        f"{_text('k')} || {user} || ' for <reader@lyceum.ac.in>; ' || {stamp}"
     )
 
 
@@ -121,11 +118,11 @@ def _with_received(flat: DataFrame) -> DataFrame:
 _SNIPPETS = _q(
     "Please act now and verify your account .",
     "Kindly handle this wire transfer and keep this between us .",
-    "Pay to payment.clearing@okaxis or shop@ybl or x@okaxis today",
-    "Helpline +91 9876543210 or 8123456789 now",
-    "Bank IFSC SBIN0001234 and HDFC0004321 here",
-    "Amount INR 25,000.50 or Rs. 300 due",
-    "Open http://185.220.101.45/kyc now",
+    "Pay to fees.office@okaxis or shop@ybl or x@okaxis today",
+    "Helpline +91 7012345678 or 8123456789 now",
+    "Bank IFSC KKBK0004567 and HDFC0004321 here",
+    "Amount INR 1,340.75 or Rs. 300 due",
+    "Open http://45.61.7.45/form now",
     "See https://bit.ly/abc and http://t.co/x now",
     "नमस्ते दोस्त अभी",
     "Привет друг",
@@ -145,10 +142,10 @@ _HTML = _q(
 FROM_DOMAINS = [
     "gmail.com", "paypal.com", "paypa1.com", "sbi.co.in", "mail.corp.example.com",
     "googlemail.com", "amazon.com", "amaz0n.com", "bankofamerica.com", "chase.com",
-    "micros0ft.com", "example.org", "apple.com", "College.ac.in",
+    "micros0ft.com", "example.org", "apple.com", "Lyceum.ac.in",
 ]
 _NAMES = [
-    "", "PayPal Security", "Prof Kumar", "State Bank of India", "IT Support", "CEO Office",
+    "", "PayPal Security", "Dr Okafor", "Harbour Bank Desk", "IT Support", "CEO Office",
     "Amazon Billing", "HR Desk", "Google Alerts", "Chase Helpdesk", "Accounts Team",
 ]
 
@@ -158,16 +155,16 @@ def mail_sql(documents: str = "documents") -> str:
     verdicts = "' (sender IP is ' || ip0 || ') smtp.mailfrom=bounce@' || from_dom || '; '"
     auth1 = _case("k % 9", [
         "NULL",
-        f"'mx.college.ac.in; spf=pass' || {verdicts} || 'dkim=pass header.d=' || from_dom || "
+        f"'mx.lyceum.ac.in; spf=pass' || {verdicts} || 'dkim=pass header.d=' || from_dom || "
         "'; dmarc=pass (p=NONE) header.from=x'",
-        f"'mx.college.ac.in; spf=fail' || {verdicts} || 'dkim=fail; dmarc=fail (p=REJECT)'",
-        "'mx.college.ac.in; spf=softfail; dkim=none; dmarc=none'",
-        f"'mx.college.ac.in;   SPF=Pass' || {verdicts} || 'dkim=fail header.i=@' || from_dom || "
+        f"'mx.lyceum.ac.in; spf=fail' || {verdicts} || 'dkim=fail; dmarc=fail (p=REJECT)'",
+        "'mx.lyceum.ac.in; spf=softfail; dkim=none; dmarc=none'",
+        f"'mx.lyceum.ac.in;   SPF=Pass' || {verdicts} || 'dkim=fail header.i=@' || from_dom || "
         "'; dmarc=pass'",
-        "'mx.college.ac.in; dkim=permerror; spf=pass'",
-        "'mx.college.ac.in; spf=bogus; dkim=neutral'",
+        "'mx.lyceum.ac.in; dkim=permerror; spf=pass'",
+        "'mx.lyceum.ac.in; spf=bogus; dkim=neutral'",
         "'one.example.org; dkim=pass header.d=a.com'",
-        "'mx.college.ac.in; dmarc=fail'",
+        "'mx.lyceum.ac.in; dmarc=fail'",
     ])
     auth2 = "CASE WHEN k % 9 = 7 THEN 'two.example.org; dkim=fail; spf=temperror; p=none' END"
     rspf = _case("k % 8", _q(
@@ -176,14 +173,14 @@ def mail_sql(documents: str = "documents") -> str:
         "Fail  (not permitted) client-ip=[62.1.2.3];", "softfail (weak)", "odd value",
     ))
     reply = _case("k % 5", [
-        "NULL", "'desk@' || from_dom", "'collect@darkmail.onion'", "'noreply@mail.' || from_dom",
+        "NULL", "'desk@' || from_dom", "'replies@mailbox.onion'", "'noreply@mail.' || from_dom",
         "NULL"])
     path = _case("k % 7", [
         "NULL", "'<bounce@' || from_dom || '>'", "'<x@bounce.' || from_dom || '>'",
         "'<support@other-alerts.com>'", "'<>'", "NULL", "NULL"])
-    to_name = _case("k % 6", _q("Victim", "", "Student One", "", None, ""))
+    to_name = _case("k % 6", _q("Reader", "", "Student One", "", None, ""))
     to_addr = _case("k % 6", _q(
-        "victim@college.ac.in", "victim@college.ac.in", "s1@college.ac.in", "v2@example.org",
+        "reader@lyceum.ac.in", "reader@lyceum.ac.in", "s1@lyceum.ac.in", "v2@example.org",
         None, "v3@example.org"))
     zone = _case("k % 10", _q(
         "+0530", "+0000", "-0500", "+0530", "-0800", "+0900", "+0100", "GMT", "+1234", ""))
@@ -283,22 +280,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Use all cores on a table whose files give fewer splits than there are cores.
-
-    A table of many files or row groups is left as the scan splits it.
-    """
-    if df.isStreaming:
-        return df
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
-
-
 def _query(spark: SparkSession, sf_dir: str, sql: str, *names: str) -> DataFrame:
     return spark.sql(
         _with_names(sql, names),
-        **{n: spread(table(spark, sf_dir, n)) if n in WIDE else table(spark, sf_dir, n)
-           for n in names})
+        **{n: table(spark, sf_dir, n) for n in names})
 
 
 def _with_names(sql: str, names: tuple[str, ...]) -> str:
@@ -308,7 +293,7 @@ def _with_names(sql: str, names: tuple[str, ...]) -> str:
 
 
 def flat_mail(spark: SparkSession, sf_dir: str, documents: DataFrame | None = None) -> DataFrame:
-    docs = spread(table(spark, sf_dir, "documents") if documents is None else documents)
+    docs = table(spark, sf_dir, "documents") if documents is None else documents
     return _with_received(spark.sql(_with_names(mail_sql(), ("documents",)), documents=docs))
 
 
@@ -392,14 +377,18 @@ def dimensions(spark: SparkSession, sf_dir: str) -> Dimensions:
 
 def raw_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as raw contents: many of them are exact copies."""
-    docs = spread(table(spark, sf_dir, "documents"))
+    docs = table(spark, sf_dir, "documents")
     return docs.select(
         F.format_string("/mail/%010d.eml", "doc_id").alias("path"),
         F.encode("text", "UTF-8").alias("content"))
 
 
-def raw_mail(spark: SparkSession, sf_dir: str, documents: DataFrame | None = None) -> DataFrame:
-    """The derived mail written out as message bytes, to go through the MIME stage."""
+def raw_mail(spark: SparkSession, sf_dir: str, documents: DataFrame | None = None,
+             broken: int = 0) -> DataFrame:
+    """The derived mail written out as message bytes, to go through the MIME stage.
+
+    With ``broken`` the text of every so many messages names a charset that does not exist.
+    """
     m = flat_mail(spark, sf_dir, documents)
     nl = F.lit("\r\n")
 
@@ -419,6 +408,9 @@ def raw_mail(spark: SparkSession, sf_dir: str, documents: DataFrame | None = Non
     file_head = F.concat(
         F.lit("application/octet-stream\r\nContent-Disposition: attachment; filename=\""),
         F.col("file_name"), F.lit("\""))
+    text_head = F.lit("text/plain; charset=utf-8") if not broken else F.when(
+        F.col("k") % broken == 0, F.lit("text/plain; charset=x-nobody")).otherwise(
+        F.lit("text/plain; charset=utf-8"))
     subject = F.concat(F.lit("=?utf-8?b?"), encoded(F.col("subject")), F.lit("?="))
     text = F.concat(
         F.array_join(F.transform(
@@ -431,7 +423,7 @@ def raw_mail(spark: SparkSession, sf_dir: str, documents: DataFrame | None = Non
         F.when(F.col("subject") != "", header("Subject", subject)).otherwise(""),
         header("Date", "date_raw"), header("Message-ID", F.trim("message_id")),
         F.lit("MIME-Version: 1.0\r\nContent-Type: multipart/mixed; boundary=\"=_b\"\r\n\r\n"),
-        part(F.lit("text/plain; charset=utf-8"), F.col("body_plain")),
+        part(text_head, F.col("body_plain")),
         part(F.lit("text/html; charset=utf-8"), F.col("body_html"), F.col("body_html") != ""),
         part(file_head, F.col("file_text"), F.col("file_name").isNotNull()),
         F.lit("--=_b--\r\n"),

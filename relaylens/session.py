@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import SparkSession
@@ -41,12 +42,20 @@ def build_session(app_name: str, master: str | None = None, **conf: str) -> Spar
 def shared_dir(spark: SparkSession) -> str:
     """Folder for intermediate tables: the one the cluster names in spark.checkpoint.dir.
 
-    Only a local session without that setting gets a folder of its own; a cluster without it
-    is refused, because a machine-local folder is lost with its executor.
+    Only a session without executors of its own may do without that setting; it gets a folder of
+    its own.  A cluster without it is refused, because a machine-local folder is lost with its
+    executor.  Whether the named folder is really shared is the cluster's promise.
     """
     path = spark.conf.get("spark.checkpoint.dir", None)
     if path:
         return path.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     return tempfile.mkdtemp(prefix="relaylens-")
+
+
+def remove_folder(spark: SparkSession, path: str) -> None:
+    """Delete an intermediate table that this process wrote."""
+    jvm = spark.sparkContext._jvm
+    target = jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)

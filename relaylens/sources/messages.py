@@ -38,15 +38,26 @@ def with_content_id(raw: DataFrame) -> DataFrame:
     return raw.withColumn("email_id", F.sha2("content", 256))
 
 
+def first_paths(raw: DataFrame) -> DataFrame:
+    """``email_id`` and the smallest ``path`` of each content; no content is read or moved.
+
+    Copies are folded on the map side, so a message that fills a third of the input still sends
+    one short row per task.
+    """
+    return raw.groupBy("email_id").agg(F.min("path").alias("path"))
+
+
 def dedup_raw(raw: DataFrame) -> DataFrame:
     """One row per content, the copy with the smallest path.
 
-    Copies are folded on the map side, so a message that fills a third of the input still sends
-    one row per task.
+    Only ids and paths are aggregated.  The other copies' paths are the small side of an anti join
+    that Spark broadcasts where its size allows, so contents are scanned again but not sorted.
     """
-    others = [c for c in raw.columns if c != "email_id"]
-    first = raw.groupBy("email_id").agg(F.min_by(F.struct(*others), "path").alias("r"))
-    return first.select("email_id", "r.*")
+    first = first_paths(raw).select(F.col("email_id").alias("_id"), F.col("path").alias("_first"))
+    others = raw.select("email_id", "path").join(first, F.col("email_id") == F.col("_id")).where(
+        F.col("path") > F.col("_first")).select("path")
+    return raw.join(others, "path", "left_anti").select("email_id", *(
+        c for c in raw.columns if c != "email_id"))
 
 
 def dedup_messages(messages: DataFrame) -> DataFrame:

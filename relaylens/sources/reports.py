@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from relaylens import schemas
+from relaylens.functions.ranges import range_of
 from relaylens.functions.text import null_if_empty
 
 
@@ -60,27 +61,28 @@ def list_reports(reports: DataFrame, name: str = "source_stem") -> DataFrame:
 
 
 def numbered(rows: DataFrame, order: list[str], column: str = "no",
-             parts: int = 200) -> DataFrame:
+             rows_per_range: int = 1_000_000) -> DataFrame:
     """Add 1-based positions in the order of some text columns, without one global sort task.
 
-    A fixed-size sample gives at most ``parts`` range bounds (the only thing the driver sees).
-    A row's range depends on its own key and the bounds alone, so position inside the range plus
-    the sizes of the ranges before it is its number.
+    A sample of 20 keys per range gives the range bounds (the only thing the driver sees: one key
+    per ``rows_per_range`` rows).  A row's range depends on its own key and the bounds alone, so
+    its position inside the range plus the sizes of the ranges before it is its number.
     """
     keyed = rows.withColumn("_key", F.concat_ws("\u0000", *order))
-    sample = keyed.select("_key").orderBy(F.xxhash64("_key")).limit(20 * parts)
-    keys = sorted((r["_key"] for r in sample.collect()), key=lambda k: k.encode())
-    bounds = F.array(*[F.lit(k) for k in keys[20::20]]).cast("array<string>")
-    placed = keyed.withColumn(
-        "_part", F.size(F.filter(bounds, lambda b: b <= F.col("_key"))))
+    parts = -(-keyed.count() // rows_per_range)
+    keys: list[str] = []
+    if parts > 1:
+        sample = keyed.select("_key").orderBy(F.xxhash64("_key")).limit(20 * parts)
+        keys = sorted((r["_key"] for r in sample.collect()), key=lambda k: k.encode())[20::20]
+    placed = keyed.withColumn("_part", range_of(F.col("_key"), keys))
     sizes = placed.groupBy("_part").agg(F.count("*").alias("_n"))
     offsets = sizes.select(
         F.col("_part").alias("_p"),
         (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).alias("_before"))
     position = F.row_number().over(Window.partitionBy("_part").orderBy("_key"))
     return placed.withColumn("_pos", position) \
-        .join(F.broadcast(offsets), F.col("_part") == F.col("_p")) \
-        .select((F.col("_pos") + F.col("_before")).cast("int").alias(column), *rows.columns)
+        .join(offsets, F.col("_part") == F.col("_p")) \
+        .select((F.col("_pos") + F.col("_before")).alias(column), *rows.columns)
 
 
 def summary_lines(traced: DataFrame) -> DataFrame:

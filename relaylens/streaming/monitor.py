@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from relaylens.operators.report import final_report
-from relaylens.plans.analysis import Dimensions, address_intel, assessed, message_facts, staged
-from relaylens.sources.messages import dedup_raw, quarantine, read_table_or_none
+from relaylens.plans.analysis import Dimensions, address_intel, assessed, message_facts
+from relaylens.session import remove_folder, shared_dir
+from relaylens.sources.messages import dedup_messages, quarantine, read_table_or_none
 from relaylens.sources.mime import parse_messages
 from relaylens.sources.reports import source_stem
 
@@ -26,15 +29,25 @@ def process_batch(
     message that an earlier batch finished is not.
     """
     spark = raw.sparkSession
-    fresh = dedup_raw(raw.select("email_id", "path", "content"))
-    done = read_table_or_none(spark, f"{out}/ledger")
+    raw = raw.select("email_id", "path", "content")
+    done = finished(spark, out)
     if done is not None:
-        done = done.where(F.col("batch") != batch_id).select("email_id").distinct()
-        fresh = fresh.join(done, "email_id", "left_anti")
-    # One staged table serves good and bad rows, so every message is parsed once.
-    facts = staged(message_facts(scorer(parse_messages(fresh))), "facts")
+        # The ledger is met from the batch's ids, its small side; only hits come back, so
+        # neither the ledger nor the contents have to be shuffled.
+        mine = done.where(F.col("batch") != batch_id).join(
+            raw.select("email_id").distinct(), "email_id", "left_semi").select("email_id").distinct()
+        raw = raw.join(mine, "email_id", "left_anti")
+    # One staged table serves good and bad rows, so every message is parsed once; copies within
+    # the batch are folded on the narrow facts.
+    work = f"{shared_dir(spark)}/batch-{batch_id}-{uuid.uuid4().hex}"
+
+    def stage(df: DataFrame, name: str) -> DataFrame:
+        df.write.parquet(f"{work}/{name}")
+        return spark.read.parquet(f"{work}/{name}")
+
+    facts = stage(dedup_messages(message_facts(scorer(parse_messages(raw)))), "facts")
     good, bad = quarantine(facts)
-    results = assessed(good, staged(address_intel(good, dims), "intel"))
+    results = assessed(good, stage(address_intel(good, dims), "intel"))
     reports = final_report(results, "email_id", "path").withColumns({
         "source_stem": source_stem(F.col("path")), "processed_at": F.current_timestamp(),
     }).drop("path")
@@ -43,6 +56,35 @@ def process_batch(
     written = spark.read.parquet(f"{out}/reports/batch={batch_id}")
     written.select(F.col("id").alias("email_id"), "processed_at").write.mode("overwrite") \
         .parquet(f"{out}/ledger/batch={batch_id}")
+    remove_folder(spark, work)
+
+
+def finished(spark: SparkSession, out: str) -> DataFrame | None:
+    """Ledger rows (email_id, processed_at, batch): compacted ones and those of single batches."""
+    parts = [t for t in (read_table_or_none(spark, f"{out}/{n}") for n in ("ledger_base", "ledger"))
+             if t is not None]
+    columns = ("email_id", "processed_at", "batch")
+    return reduce(DataFrame.unionByName, [t.select(*columns) for t in parts]) if parts else None
+
+
+def compact_ledger(spark: SparkSession, out: str, upto: int) -> None:
+    """Merge the ledger folders of the batches up to ``upto`` into one table.
+
+    The new generation is complete before the folders it replaces go, and a row that is there twice
+    does no harm, so this can be repeated after a failure.  It must not run beside a batch.
+    """
+    old = finished(spark, out)
+    if old is None:
+        return
+    batches = [r["batch"] for r in old.select("batch").where(F.col("batch") <= upto).distinct().collect()]
+    stale = read_table_or_none(spark, f"{out}/ledger_base")
+    before = [] if stale is None else [r["upto"] for r in stale.select("upto").distinct().collect()]
+    if not batches or upto in before:
+        return
+    old.where(F.col("batch") <= upto).dropDuplicates(["email_id", "batch"]).write.parquet(
+        f"{out}/ledger_base/upto={upto}")
+    for folder in [*(f"ledger/batch={b}" for b in batches), *(f"ledger_base/upto={g}" for g in before)]:
+        remove_folder(spark, f"{out}/{folder}")
 
 
 def monitor(

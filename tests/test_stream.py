@@ -52,3 +52,25 @@ def test_failed_batch_is_done_again_in_full(spark, tmp_path):
     for _ in range(2):
         monitor.process_batch(raw, 0, dims, out, scorer)
     assert monitor.reports_of(spark, out).count() == spark.read.parquet(f"{out}/ledger").count()
+
+
+def test_second_batch_does_not_shuffle_the_ledger_and_compaction_keeps_it(spark, tmp_path):
+    mails.write(tmp_path / "in")
+    raw = sources.read_message_tree(spark, str(tmp_path / "in"))
+    out = str(tmp_path / "out")
+    dims = analysis.Dimensions(spark.createDataFrame([], schemas.IP_RANGES))
+    monitor.process_batch(raw.limit(4), 0, dims, out, scorer)
+    ledger = monitor.finished(spark, out)
+    met = ledger.join(raw.select("email_id").distinct(), "email_id", "left_semi")
+    met.collect()
+    plan = met._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+    before = {r.email_id for r in ledger.collect()}
+    for _ in range(2):
+        monitor.compact_ledger(spark, out, 0)
+        assert {r.email_id for r in monitor.finished(spark, out).collect()} == before
+    monitor.process_batch(raw, 1, dims, out, scorer)
+    monitor.compact_ledger(spark, out, 1)
+    assert {r.email_id for r in monitor.finished(spark, out).collect()} == {
+        r.id for r in monitor.reports_of(spark, out).collect()}
+    assert monitor.reports_of(spark, out).count() == len(mails.ALL) - 1
