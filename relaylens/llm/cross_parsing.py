@@ -4,9 +4,9 @@ A suffix automaton of labelled text per language yields the longest match at any
 text can be parsed greedily into phrases that occur in that language's text.  The language that
 needs the fewest phrases per character wins.
 
-* Training: whole labelled documents in the order of a hash of their id until a language has
-  ``chars_per_language`` characters.  This bound is the only limit; it makes the automata a
-  broadcast of fixed size (languages x chars).
+* Training: labelled documents in the order of a hash of their id, at most ``CHARS_PER_DOCUMENT``
+  characters of each, until a language has ``CHARS_PER_LANGUAGE``.  This bound is the only limit; it
+  makes the automata a broadcast of fixed size (languages x characters).
 * Prediction reads every whole text, in lower case.  The segments that are parsed are the runs of
   letters with one space on either side (runs of over 64 letters are cut), so a word's phrase
   counts are a pure function of the word and are remembered in a bounded table per worker.
@@ -30,6 +30,7 @@ from relaylens.llm.common import arrow_rows
 
 UNDECIDED = "und"
 CHARS_PER_LANGUAGE = 12_000
+CHARS_PER_DOCUMENT = 600
 LONGEST_SEGMENT = 64
 REMEMBERED = 400_000
 
@@ -158,26 +159,26 @@ def model_of(training: tuple[tuple[str, str], ...]) -> Model:
 def training_texts(labelled: DataFrame, chars: int = CHARS_PER_LANGUAGE) -> tuple[tuple[str, str], ...]:
     """(language, text) pairs from a bounded sample of ``labelled`` (lang, text, doc_id).
 
-    Documents are drawn by a hash of their id at a rate of about four times the characters
-    wanted, so what reaches the driver is bounded whatever the size of the input.
+    Documents are drawn by a hash of their id, about four times as many as are wanted, and each
+    gives at most ``CHARS_PER_DOCUMENT`` characters, so a wrong label or a very long document
+    weighs little and what reaches the driver is bounded whatever the size of the input.
     """
     usable = labelled.where(F.col("lang").isNotNull() & (F.length("text") > 0))
     draw = F.pmod(F.xxhash64("doc_id", F.lit("language sample")), F.lit(1 << 40)) / F.lit(float(1 << 40))
-    sizes = usable.groupBy("lang").agg(F.sum(F.length("text")).alias("chars"))
+    part = F.least(F.length("text"), F.lit(CHARS_PER_DOCUMENT))
+    sizes = usable.groupBy("lang").agg(F.sum(part).alias("chars"))
     rates = {r["lang"]: 4.0 * chars / r["chars"] for r in sizes.collect()}
     if not rates:
         return ()
     rate = F.lit(0.0)
     for lang, r in rates.items():
         rate = F.when(F.col("lang") == lang, F.lit(r)).otherwise(rate)
-    # A text of which one part is enough is cut here, so that one document can't fill the driver.
     sample = usable.where(draw < rate).select(
-        "lang", draw.alias("draw"), F.substring("text", 1, chars).alias("text"))
+        "lang", draw.alias("draw"), F.substring("text", 1, CHARS_PER_DOCUMENT).alias("text"))
     taken: dict[str, list[str]] = {lang: [] for lang in rates}
     for row in sorted(sample.collect(), key=lambda r: (r["lang"], r["draw"], r["text"])):
-        taken[row["lang"]].append(row["text"])
-    return tuple((lang, "\n".join(parts)[:chars].replace("\n", " "))
-                 for lang, parts in sorted(taken.items()) if parts)
+        taken[row["lang"]].append(row["text"].rsplit(None, 1)[0] if row["text"].strip() else "")
+    return tuple((lang, " ".join(parts)[:chars]) for lang, parts in sorted(taken.items()) if parts)
 
 
 def identify(docs: DataFrame, training: tuple[tuple[str, str], ...],
