@@ -140,8 +140,8 @@ ZONE_OFFSETS = {
     "CDT": "-0500", "MST": "-0700", "MDT": "-0600", "PST": "-0800", "PDT": "-0700",
 }
 
-# --- Fixed values: a snapshot of common public suffixes.  A host under any other suffix
-# --- keeps its last label only; pass a fuller list to registered_domain() when needed.
+# --- Fixed values: a snapshot of common public suffixes.  Other top-level domains follow the
+# --- general rule of registered_domain(), to which a full list can be passed.
 
 PUBLIC_SUFFIXES = [
     "com", "org", "net", "edu", "gov", "mil", "int", "info", "biz", "name", "pro", "app", "dev",
@@ -159,6 +159,26 @@ PUBLIC_SUFFIXES = [
     "pk", "com.pk", "bd", "com.bd", "lk", "np", "com.np", "ly", "gl", "gd", "onion",
 ]
 
+# Labels under which there are no public domains, and labels that stand for a kind of owner
+# below a country code.
+SPECIAL_USE_LABELS = [
+    "corp", "example", "home", "internal", "intranet", "invalid", "lan", "local", "localdomain",
+    "localhost", "private", "test",
+]
+SECOND_LEVEL_LABELS = ["ac", "co", "com", "edu", "go", "gob", "gov", "mil", "ne", "net", "or", "org"]
+
+# --- Fixed values: patterns of authentication results (case is ignored) ---
+
+SPF_RESULT = r"spf=([a-z]+)"
+DKIM_RESULT = r"dkim=([a-z]+)"
+DMARC_RESULT = r"dmarc=([a-z]+)"
+SPF_MAIL_DOMAIN = r"smtp\.mailfrom=(?:.*?@)?([A-Za-z0-9.\-]+)"
+SPF_ENVELOPE_DOMAIN = r"envelope-from=(?:.*?@)?([A-Za-z0-9.\-]+)"
+SPF_SENDER_IP = r"sender ip is \[?([0-9a-fA-F.:]+)\]?"
+SPF_CLIENT_IP = r"client-ip=\[?([0-9a-fA-F.:]+)\]?"
+DKIM_DOMAIN = r"header\.[di]=@?([A-Za-z0-9.\-]+)"
+DMARC_POLICY = r"\bp=([a-z]+)"
+
 # --- Fixed values: texts of notes, flags and reasons (printf style) ---
 
 NOTE_NO_RECEIVED = "No Received headers present."

@@ -17,12 +17,32 @@ _DATE = (
 )
 
 
+_DAY = r"(?i)^\s*(?:\S*,\s*|(?:mon|tue|wed|thu|fri|sat|sun)\s+)?"
+_CLOCK = r"\d{1,2}[:.]\d{1,2}(?:[:.]\d{1,2})?"
+# Other orders of the same pieces, each with the replacement that puts them into _DATE's order.
+_ORDERS = [
+    (rf"{_DAY}({_MONTH})\s+(\d{{1,2}}),?\s+(\d{{4}})\s+({_CLOCK})(.*)$", "$2 $1 $3 $4$5"),
+    (rf"{_DAY}({_MONTH})\s+(\d{{1,2}}),?\s+({_CLOCK})\s+(\d{{4}})(.*)$", "$2 $1 $4 $3$5"),
+    (rf"{_DAY}(\d{{1,2}})\s+({_MONTH})\s+({_CLOCK})\s+(\d{{4}})(.*)$", "$1 $2 $4 $3$5"),
+]
+
+
+def _usual_order(c: Column) -> Column:
+    """Month first, year last and dotted times rewritten; other text is unchanged."""
+    out = c
+    for pattern, order in _ORDERS:
+        out = F.regexp_replace(out, pattern, order)
+    full = F.regexp_replace(out, r"(\s\d{1,2})\.(\d{1,2})\.(\d{1,2})(\s|$)", "$1:$2:$3$4")
+    return F.regexp_replace(full, r"(\s\d{1,2})\.(\d{1,2})(\s|$)", "$1:$2$3")
+
+
 def date_parts(c: Column) -> Column:
     """[day, month, year, hour, minute, second, zone], or a one-item array for other text.
 
-    One regular expression pass; date_value() reads the pieces.
+    date_value() reads the pieces.
     """
-    return F.split(F.regexp_replace(c, _DATE, "$1|$2|$3|$4|$5|$6|$7"), r"\|", 7)
+    usual = F.when(c.rlike(_DATE), c).otherwise(_usual_order(c))
+    return F.split(F.regexp_replace(usual, _DATE, "$1|$2|$3|$4|$5|$6|$7"), r"\|", 7)
 
 
 def _two(c: Column) -> Column:

@@ -54,18 +54,36 @@ def url_host(url: Column) -> Column:
 def registered_domain(host: Column, suffixes: list[str] | None = None) -> Column:
     """Registered domain of a host (one label below the longest known public suffix).
 
-    An address, and a host under no known suffix, keep what there is: the address, or the last
-    label.  Suffix look-ups are hash-set tests inside the plan (``IN``), not a join.
+    ``suffixes`` is a public suffix list with its wildcards (``*.ck``) and exceptions (``!www.ck``);
+    the built-in one is a snapshot.  Where no rule fits, the last label is the suffix, and below
+    a country code also the usual second labels (``com.co``).  An address stays as it is, and a
+    name under a special-use label, which is no public domain, keeps its last label.
+
+    Suffix look-ups are hash-set tests inside the plan (``IN``), not a join.
     """
     known = suffixes or fv.PUBLIC_SUFFIXES
-    depth = max(s.count(".") + 1 for s in known)
+    plain = [s for s in known if s[0] not in "*!"]
+    wild = [s[2:] for s in known if s.startswith("*.")]
+    but = [s[1:] for s in known if s.startswith("!")]
+
+    def last(h: Column, n: int) -> Column:
+        return F.substring_index(h, ".", -n)
+
+    def below(h: Column, names: list[str], more: int, out: Column) -> Column:
+        """``more`` labels below the longest of ``names`` that ends the host."""
+        for n in sorted({s.count(".") + 1 for s in names}):
+            level = [s for s in names if s.count(".") + 1 == n]
+            out = F.when(last(h, n).isin(level), last(h, n + more)).otherwise(out)
+        return out
 
     def cut(h: Column) -> Column:
-        out = F.substring_index(h, ".", -1)
-        for n in range(1, depth + 1):
-            level = [s for s in known if s.count(".") + 1 == n]
-            tail = F.substring_index(h, ".", -n)
-            out = F.when(tail.isin(level), F.substring_index(h, ".", -(n + 1))).otherwise(out)
+        top = last(h, 1)
+        second = F.substring_index(last(h, 2), ".", 1)
+        out = below(h, [s for s in plain if "." not in s], 1, F.when(
+            top.isin(fv.SPECIAL_USE_LABELS), top).otherwise(last(h, 2)))
+        if suffixes is None:
+            out = F.when((F.length(top) == 2) & second.isin(fv.SECOND_LEVEL_LABELS), last(h, 3)).otherwise(out)
+        out = below(h, but, 0, below(h, wild, 2, below(h, [s for s in plain if "." in s], 1, out)))
         address = h.rlike(r"^\d{1,3}(\.\d{1,3}){3}$") | F.contains(h, F.lit(":"))
         return F.when(address, h).otherwise(out)
 

@@ -40,26 +40,26 @@ def with_trace_verdicts(messages: DataFrame) -> DataFrame:
         messages
         .withColumns({"_auth_text": text, "_spf_text": squeeze(F.col("received_spf"))})
         .withColumns({
-            "_spf": found(r"spf=([a-z]+)"),
-            "_dkim": found(r"dkim=([a-z]+)"),
-            "_dmarc": found(r"dmarc=([a-z]+)"),
+            "_spf": found(fv.SPF_RESULT),
+            "_dkim": found(fv.DKIM_RESULT),
+            "_dmarc": found(fv.DMARC_RESULT),
             "_spf_word": F.when(first_word.isin(fv.AUTH_RESULTS), first_word),
         })
         .withColumns({
             "spf_result": F.when(F.col("_spf").isin(fv.AUTH_RESULTS), F.col("_spf"))
             .otherwise(F.coalesce("_spf_word", F.lit("unknown"))),
             "spf_domain": F.coalesce(
-                found(r"smtp\.mailfrom=(?:.*?@)?([A-Za-z0-9.\-]+)"),
-                found(r"envelope-from=(?:.*?@)?([A-Za-z0-9.\-]+)", "_spf_text"),
+                found(fv.SPF_MAIL_DOMAIN),
+                found(fv.SPF_ENVELOPE_DOMAIN, "_spf_text"),
             ),
             "spf_client_ip": F.coalesce(
-                found(r"sender ip is \[?([0-9a-fA-F.:]+)\]?"),
-                found(r"client-ip=\[?([0-9a-fA-F.:]+)\]?", "_spf_text"),
+                found(fv.SPF_SENDER_IP),
+                found(fv.SPF_CLIENT_IP, "_spf_text"),
             ),
             "dkim_result": verdict("_dkim"),
-            "dkim_domain": found(r"header\.[di]=@?([A-Za-z0-9.\-]+)"),
+            "dkim_domain": found(fv.DKIM_DOMAIN),
             "dmarc_result": verdict("_dmarc"),
-            "dmarc_policy": found(r"\bp=([a-z]+)"),
+            "dmarc_policy": found(fv.DMARC_POLICY),
         })
         .drop("_auth_text", "_spf_text", "_spf", "_dkim", "_dmarc", "_spf_word")
     )

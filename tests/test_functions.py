@@ -99,7 +99,7 @@ def test_hosts(spark):
         "http://a.b.co.uk/x": ("a.b.co.uk", "b.co.uk"),
         "https://user@Evil.COM:80/p?x": ("evil.com", "evil.com"),
         "http://1.2.3.4/a": ("1.2.3.4", "1.2.3.4"), "http://a.unknowntld/": ("a.unknowntld",
-                                                                           "unknowntld"),
+                                                                           "a.unknowntld"),
         "http://[::1]:80/": ("::1", "::1"), "https://t.co": ("t.co", "t.co"),
     }
     host = hosts.url_host(F.col("x"))
@@ -138,3 +138,30 @@ def test_scripts_count_letters_only(spark):
                 if ch.isalpha() and s.upper() in unicodedata.name(ch, ""):
                     want[s] = want.get(s, 0) + 1
         assert [(s.script, s.letters) for s in r.s] == list(want.items())
+
+
+def test_other_date_orders_agree_with_the_standard_library(spark):
+    values = [
+        "Sep 1 2025 10:12:00 +0530", "Mon Sep  1 10:12:00 2025", "1 Sep 10:12:00 2025 +0530",
+        "Mon, 1 Sep 2025 10.12.00 +0530", "Mon, Sep 1 2025 10:12 GMT", "Sep  1 10:12:00 2025 -0500",
+        "1 Sep 2025 10.12 +0000",
+    ]
+    got = column(spark, values).withColumn("v", dates.date_value(dates.date_parts(F.col("x"))))
+    for r in got.collect():
+        want = email.utils.parsedate_to_datetime(r.x)
+        zoned = want if want.tzinfo else want.replace(tzinfo=datetime.timezone.utc)
+        assert r.v is not None and r.v.epoch == int(zoned.timestamp()), (r.x, want, r.v)
+
+
+def test_registered_domain_rules(spark):
+    expected = {
+        "www.example.ai": "example.ai", "evil.live": "evil.live", "login.shop.store": "shop.store",
+        "x.y.com.co": "y.com.co", "pc.desk.corp": "corp", "localhost": "localhost", "ai": "ai",
+        "a.b.co.in": "b.co.in", "1.2.3.4": "1.2.3.4", "": "", "a.b.gov.gh": "b.gov.gh",
+    }
+    got = column(spark, list(expected)).withColumn("d", hosts.registered_domain(F.col("x")))
+    assert {r.x: r.d for r in got.collect()} == expected
+    rules = ["com", "*.ck", "!www.ck"]
+    listed = {"a.b.c.ck": "b.c.ck", "x.www.ck": "www.ck", "www.ck": "www.ck", "a.b.com": "b.com"}
+    got = column(spark, list(listed)).withColumn("d", hosts.registered_domain(F.col("x"), rules))
+    assert {r.x: r.d for r in got.collect()} == listed
