@@ -34,19 +34,26 @@ def distinct_ips(usage: DataFrame) -> DataFrame:
 
 
 def gate(ips: DataFrame) -> DataFrame:
-    """Mark addresses that must not be looked up (``error``) and number the IPv4 ones."""
-    internal = ips.withColumn("_internal", ip.is_internal_ip(F.col("ip")))
+    """Mark addresses that must not be looked up (``error``); number the IPv4 ones (``ip_num``)
+    and give the IPv6 ones their 32 hex digits (``ip_hex``)."""
+    internal = ips.withColumns({
+        "_internal": ip.is_internal_ip(F.col("ip")), "_hex": ip.v6_key(F.col("ip"))})
+    mapped = F.col("_hex").startswith("0" * 20 + "ffff")
     return internal.withColumns({
         "error": F.when(F.col("_internal").isNull(), "invalid IP address")
         .when(F.col("_internal"), "private/internal IP"),
-        "ip_num": F.when(~F.col("_internal"), ip.v4_key(F.col("ip"))),
-    }).drop("_internal")
+        "ip_num": F.when(~F.col("_internal"), F.coalesce(
+            ip.v4_key(F.col("ip")),
+            F.when(mapped, F.conv(F.substring("_hex", 25, 8), 16, 10).cast("long")))),
+        "ip_hex": F.when(~F.col("_internal") & ~mapped, F.col("_hex")),
+    }).drop("_internal", "_hex")
 
 
 def range_lookup(ips: DataFrame, dims: dict[str, DataFrame]) -> DataFrame:
     """Add one struct column per dimension: the record of the range that holds ``ip_num``.
 
-    Each dimension has ``lo``, ``hi`` and disjoint ranges (see ``disjoint_ranges``).  All of them
+    Each dimension has ``lo``, ``hi`` and disjoint ranges (see ``without_overlaps``), and for IPv6
+    rows with ``lo6``, ``hi6`` of 32 hex digits instead.  All of them
     share one shuffle: range starts and addresses are unioned, and a running ``last`` in address
     order carries the latest start to each address.  A range adds one row per /16 it touches,
     which for disjoint ranges is at most 65,536 rows over the whole dimension.
@@ -58,8 +65,7 @@ def range_lookup(ips: DataFrame, dims: dict[str, DataFrame]) -> DataFrame:
     )
     marks = asks
     for name, dim in dims.items():
-        record = F.struct("hi", F.struct(*[c for c in dim.columns if c not in ("lo", "hi")])
-                          .alias("rec"))
+        record = F.struct("hi", _payload(dim).alias("rec"))
         pieces = dim.where(F.col("lo") <= F.col("hi")).select(
             "lo", record.alias(name),
             F.explode(F.expr(f"sequence(lo div {BUCKET}, hi div {BUCKET})")).alias("bucket"),
@@ -80,7 +86,59 @@ def range_lookup(ips: DataFrame, dims: dict[str, DataFrame]) -> DataFrame:
         "ask.*",
         *[F.when(F.col("at") <= F.col(f"{n}.hi"), F.col(f"{n}.rec")).alias(n) for n in dims],
     )
-    return hits.unionByName(ips.where(F.col("ip_num").isNull()), allowMissingColumns=True)
+    others = ips.where(F.col("ip_num").isNull())
+    wide = {n: d for n, d in dims.items() if "lo6" in d.columns}
+    if wide and "ip_hex" in ips.columns:
+        hits = hits.unionByName(
+            _lookup6(others.where(F.col("ip_hex").isNotNull()), wide), allowMissingColumns=True)
+        others = others.where(F.col("ip_hex").isNull())
+    return hits.unionByName(others, allowMissingColumns=True)
+
+
+_KEYS = ("lo", "hi", "lo6", "hi6")
+
+
+def _payload(dim: DataFrame) -> Column:
+    return F.struct(*[c for c in dim.columns if c not in _KEYS])
+
+
+def _pieces6(dim: DataFrame, narrow: bool) -> DataFrame:
+    """IPv6 ranges with their ``bucket``: the /32 of a range inside one, else each /16 it touches."""
+    rows = dim.where((F.col("lo6") <= F.col("hi6")) & (
+        (F.substring("lo6", 1, 8) == F.substring("hi6", 1, 8)) == F.lit(narrow)))
+    if narrow:
+        return rows.withColumns({"bucket": F.substring("lo6", 1, 8), "at": F.col("lo6")})
+    first, last = (F.conv(F.substring(c, 1, 4), 16, 10).cast("int") for c in ("lo6", "hi6"))
+    return rows.withColumn("bucket", F.explode(F.sequence(first, last))).withColumn(
+        "bucket", F.lpad(F.lower(F.hex("bucket")), 4, "0")).withColumn(
+        "at", F.greatest("lo6", F.rpad("bucket", 32, "0")))
+
+
+def _lookup6(ips: DataFrame, dims: dict[str, DataFrame]) -> DataFrame:
+    """The same merge on hex digits, for ranges wider than a /32 and then for narrower ones, which
+    win."""
+    names = list(dims)
+    for narrow in (False, True):
+        marks = ips.select(
+            F.substring("ip_hex", 1, 8 if narrow else 4).alias("bucket"), F.col("ip_hex").alias("at"),
+            F.lit(1).alias("kind"), F.struct(*ips.columns).alias("ask"))
+        for name, dim in dims.items():
+            record = F.struct("hi6", _payload(dim).alias("rec")).alias(f"_{name}")
+            marks = marks.unionByName(_pieces6(dim, narrow).select(
+                "bucket", "at", F.lit(0).alias("kind"), record), allowMissingColumns=True)
+        order = Window.partitionBy("bucket").orderBy("at", "kind") \
+            .rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        found = marks.select("at", "kind", "ask", *[
+            F.last(f"_{n}", ignorenulls=True).over(order).alias(f"_{n}") for n in names]).where(
+            F.col("kind") == 1)
+
+        def hit(n: str) -> Column:
+            return F.when(F.col("at") <= F.col(f"_{n}.hi6"), F.col(f"_{n}.rec"))
+
+        kept = [c for c in ips.columns if c not in names]
+        ips = found.select(*[F.col(f"ask.{c}") for c in kept], *[
+            F.coalesce(hit(n), F.col(f"ask.{n}")).alias(n) if narrow else hit(n).alias(n) for n in names])
+    return ips
 
 
 def disjoint_ranges(ranges: DataFrame) -> DataFrame:
@@ -146,19 +204,33 @@ def has_overlaps(ranges: DataFrame) -> bool:
 def without_overlaps(ranges: DataFrame) -> DataFrame:
     """The ranges themselves if they are disjoint, else cut so that the narrowest one wins.
 
-    A running look-up over nested ranges would lose the outer one, so this is always checked.
+    A running look-up over nested ranges would lose the outer one, so this is always checked.  IPv6
+    ranges may be nested only as one inside a /32 and one wider than a /32; others are refused.
     """
-    return disjoint_ranges(ranges) if has_overlaps(ranges) else ranges
+    if "lo6" in ranges.columns:
+        for narrow in (False, True):
+            order = Window.partitionBy("bucket").orderBy("at", "hi6")
+            pieces = _pieces6(ranges, narrow).withColumn("next", F.lead("at").over(order))
+            if not pieces.where(F.col("next") <= F.col("hi6")).isEmpty():
+                raise ValueError("IPv6 ranges overlap; cut them before the look-up")
+    if not has_overlaps(ranges):
+        return ranges
+    return disjoint_ranges(ranges).unionByName(ranges.where(F.col("lo").isNull()))
 
 
 def _present(dim: DataFrame) -> DataFrame:
     """Give a dimension all look-up fields; the ones it lacks are null."""
-    return dim.select("lo", "hi", *[
+    return _with_ipv6(dim).select(*_KEYS, *[
         (F.col(f) if f in dim.columns else F.lit(None).cast(_TYPES.get(f, "string"))).alias(f)
         for f in RANGE_FIELDS
     ])
 
 
+def _with_ipv6(dim: DataFrame) -> DataFrame:
+    return dim if "lo6" in dim.columns else dim.withColumns({
+        c: F.lit(None).cast("string") for c in ("lo6", "hi6")})
+
+
 def classify(proxy: Column, hosting: Column, mobile: Column, isp: Column, org: Column,
              asn_name: Column) -> Column:
     """Infrastructure type; the order of the tests is the rule."""
@@ -190,7 +262,7 @@ def ip_intel(
     """
     dims = {"city": _present(city)}
     if asn is not None:
-        dims["net"] = asn.select("lo", "hi", "asn", "asn_name")
+        dims["net"] = _with_ipv6(asn).select(*_KEYS, "asn", "asn_name")
     if fallback is not None:
         dims["second"] = _present(fallback)
     dims = {name: without_overlaps(dim) for name, dim in dims.items()}

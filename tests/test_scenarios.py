@@ -1,4 +1,5 @@
 import hashlib
+import ipaddress
 
 import mails
 import pytest
@@ -177,3 +178,22 @@ def test_nested_ranges_keep_the_outer_record(spark):
     asked = spark.createDataFrame([("1.2.0.5",), ("1.2.3.4",), ("1.1.1.1",), ("9.9.9.9",)], "ip string")
     found = {r.ip: r.country for r in geo.ip_intel(asked, ranges).collect()}
     assert found == {"1.2.0.5": "Narrow", "1.2.3.4": "Wide", "1.1.1.1": "Wide", "9.9.9.9": None}
+
+
+def test_ipv6_ranges_wide_and_narrow(spark):
+    from relaylens.operators import geo
+
+    def digits(text):
+        return f"{int(ipaddress.ip_address(text)):032x}"
+
+    ranges = spark.createDataFrame(
+        [(digits("2000::"), digits("3fff:" + "ffff:" * 6 + "ffff"), "Wide"),
+         (digits("2a02:908:10::"), digits("2a02:908:1f:" + "ffff:" * 4 + "ffff"), "Narrow")],
+        "lo6 string, hi6 string, country string").selectExpr(
+        "cast(null as long) as lo", "cast(null as long) as hi", "*")
+    asked = {"2a02:908:12::7": "Narrow", "2a02:908:20::7": "Wide", "2a02:908:f::7": "Wide",
+             "3fff::1": "Wide", "fe80::1": None, "1.2.3.4": None, "2001:4860::8": "Wide", "bad": None}
+    table = spark.createDataFrame([(a,) for a in asked], "ip string")
+    assert {r.ip: r.country for r in geo.ip_intel(table, ranges).collect()} == asked
+    with pytest.raises(ValueError):
+        geo.ip_intel(table, ranges.unionByName(ranges))
