@@ -31,7 +31,7 @@ from relaylens.functions.ranges import range_of
 from relaylens.llm.common import texts
 
 BUCKETS = 256
-RECORDS_PER_RANGE = 100_000
+RECORDS_PER_RANGE = 20_000
 LEAST_RANGES = 96
 _STEPS = np.array([0, 1, 2, 6])
 #: Average difference of two independent digests: the mean step, 1.625, per bucket.
