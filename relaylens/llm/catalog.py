@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from relaylens.llm import (
-    cross_parsing, hyperplane_dedup, merge_dropout, order_minhash, packing, quartile_digest,
+    cross_parsing, hyperplane_dedup, merge_dropout, oracle, order_minhash, packing, quartile_digest,
     snapshot_collapse, splitter_sharding, superkmer_dedup, url_markov,
 )
 from relaylens.llm.common import table
@@ -48,7 +48,7 @@ def op2(spark, sf):
     return url_markov.judge(table(spark, sf, "pages"), URL_RULES)
 
 
-@entry("op3_order_minhash")
+@entry("op3_order_minhash", oracle.NEAR_DUPLICATES)
 def op3(spark, sf):
     return order_minhash.dedup(table(spark, sf, "documents")).withColumn(
         "kept", F.col("doc_id") == F.col("class_id"))
@@ -59,7 +59,7 @@ def op4(spark, sf):
     return quartile_digest.with_edited(table(spark, sf, "documents"))
 
 
-@entry("op5_hyperplane_dedup")
+@entry("op5_hyperplane_dedup", oracle.EMBEDDINGS)
 def op5(spark, sf):
     return hyperplane_dedup.dedup(table(spark, sf, "embeddings"))
 
@@ -86,7 +86,7 @@ def op8(spark, sf):
         "doc_id", held_out().alias("held_out"), "lang_pred", "score")
 
 
-@entry("op9_super_kmer_dedup")
+@entry("op9_super_kmer_dedup", oracle.PASSAGES)
 def op9(spark, sf):
     return superkmer_dedup.remove_repeats(table(spark, sf, "documents")).select(
         "doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
