@@ -13,13 +13,13 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from relaylens.functions.text import unnest
+from relaylens.functions.text import dense, unnest
 from relaylens.operators import (
     auth, detection, geo, hops, links, location, model, origin, report,
 )
 from relaylens.plans import analysis, oracle
 from relaylens.plans import workload as w
-from relaylens.session import configure, shared_dir
+from relaylens.session import configure, last_changed, shared_dir
 from relaylens.sources import messages as sources
 from relaylens.sources import reports as sinks
 from relaylens.sources.mime import parse_messages
@@ -46,8 +46,8 @@ def entry(name: str, sql: str | None = None, after_parsing: bool = False):
 
 
 def once(spark: SparkSession, sf_dir: str, name: str, build: Query) -> DataFrame:
-    """A table of this session and data set, written on first use."""
-    key = (spark.sparkContext.applicationId, sf_dir, name)
+    """A table of this session and data set, written on first use and again if the data change."""
+    key = (spark.sparkContext.applicationId, sf_dir, last_changed(spark, sf_dir), name)
     if key not in _STAGED:
         path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
         build(spark, sf_dir).write.parquet(path)
@@ -55,6 +55,11 @@ def once(spark: SparkSession, sf_dir: str, name: str, build: Query) -> DataFrame
     return spark.read.parquet(_STAGED[key])
 
 
+def forget() -> None:
+    """Let the next query write its shared tables anew."""
+    _STAGED.clear()
+
+
 def text(column: str | Column) -> Column:
     return F.array_join(column, " | ")
 
@@ -727,26 +732,45 @@ def l15(spark, sf):
 # --- detection ---
 
 
-def _flag_entry(name: str, *types: str) -> None:
+def _flag_entry(name: str, base: Callable[[DataFrame], DataFrame], flags: Callable[[], Column],
+                *types: str) -> None:
+    """A query that builds only the flags it is asked for."""
     quoted = ", ".join(oracle.s(t) for t in types)
 
     @entry(name, "SELECT CAST(k AS VARCHAR) AS email_id, flag, count(*) AS times FROM flags "
                  f"WHERE split_part(flag, ':', 1) IN ({quoted}) GROUP BY k, flag")
     def run(spark, sf):
-        rows = detection.flag_table(flagged(spark, sf)).where(F.col("base_type").isin(*types))
-        return rows.groupBy(ID, "flag").agg(F.count("*").alias("times"))
-
-
-_flag_entry("d1_flag_auth", "SPF_FAIL", "SPF_SOFTFAIL", "DKIM_FAIL", "DMARC_FAIL")
-_flag_entry("d2_flag_reply_to", "REPLY_TO_MISMATCH")
-_flag_entry("d3_flag_return_path", "RETURN_PATH_MISMATCH")
-_flag_entry("d4_flag_lookalike", "LOOKALIKE_DOMAIN")
-_flag_entry("d5_flag_urgency", "URGENCY_LANGUAGE")
-_flag_entry("d6_flag_ip_url", "IP_BASED_URL")
-_flag_entry("d7_flag_short_url", "SHORTENED_URL")
-_flag_entry("d8_flag_anchor_mismatch", "ANCHOR_TEXT_MISMATCH")
-_flag_entry("d10_flag_display_name", "DISPLAY_NAME_IMPERSONATION")
-_flag_entry("d11_flag_bec", "BEC_LANGUAGE_PATTERN")
+        rows = unnest(base(w.mail(spark, sf)).withColumn("flags", flags()), "flags", ID, item="flag")
+        return rows.where(detection.base_type(F.col("flag")).isin(*types)).groupBy(ID, "flag").agg(
+            F.count("*").alias("times"))
+
+
+def _one(flag: Callable[[], Column]) -> Callable[[], Column]:
+    return lambda: dense(flag())
+
+
+def _with_body(mail: DataFrame) -> DataFrame:
+    return mail.withColumn("_body", detection.body_text())
+
+
+def _with_lookalikes(mail: DataFrame) -> DataFrame:
+    return detection.with_lookalikes(detection.with_sender(mail))
+
+
+_flag_entry("d1_flag_auth", auth.with_first_verdicts, detection.auth_flags,
+            "SPF_FAIL", "SPF_SOFTFAIL", "DKIM_FAIL", "DMARC_FAIL")
+_flag_entry("d2_flag_reply_to", detection.with_sender, _one(detection.reply_to_flag),
+            "REPLY_TO_MISMATCH")
+_flag_entry("d3_flag_return_path", detection.with_sender, _one(detection.return_path_flag),
+            "RETURN_PATH_MISMATCH")
+_flag_entry("d4_flag_lookalike", _with_lookalikes, detection.lookalike_flags, "LOOKALIKE_DOMAIN")
+_flag_entry("d5_flag_urgency", _with_body, _one(detection.urgency_flag), "URGENCY_LANGUAGE")
+_flag_entry("d6_flag_ip_url", links.with_urls, detection.url_flags, "IP_BASED_URL")
+_flag_entry("d7_flag_short_url", links.with_urls, detection.url_flags, "SHORTENED_URL")
+_flag_entry("d8_flag_anchor_mismatch", links.with_urls, detection.url_flags, "ANCHOR_TEXT_MISMATCH")
+_flag_entry("d10_flag_display_name", detection.with_sender, detection.display_name_flags,
+            "DISPLAY_NAME_IMPERSONATION")
+_flag_entry("d11_flag_bec", _with_body, _one(detection.bec_flag), "BEC_LANGUAGE_PATTERN")
 
 
 @entry("d9_flag_attachment",

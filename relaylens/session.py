@@ -59,3 +59,13 @@ def remove_folder(spark: SparkSession, path: str) -> None:
     jvm = spark.sparkContext._jvm
     target = jvm.org.apache.hadoop.fs.Path(path)
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def last_changed(spark: SparkSession, folder: str) -> int:
+    """Latest modification time of the tables (files or folders of files) in a folder."""
+    jvm = spark.sparkContext._jvm
+    top = jvm.org.apache.hadoop.fs.Path(folder)
+    fs = top.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    tables = list(fs.listStatus(top))
+    files = [f for t in tables if t.isDirectory() for f in fs.listStatus(t.getPath())]
+    return max((f.getModificationTime() for f in tables + files), default=0)
