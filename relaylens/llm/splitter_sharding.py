@@ -56,7 +56,8 @@ def shard(docs: DataFrame, shards: int = SHARDS, doc_id: str = "doc_id", text: s
 
     heavy = keyed.groupBy("key").agg(F.sum("size").alias("heavy")).where(F.col("heavy") > share) \
         .withColumnRenamed("key", "_key")
-    marked = keyed.join(heavy, F.col("key") == F.col("_key"), "left").drop("_key")
+    # At most ``ranges`` keys can be heavier than total / ranges, so this side is bounded.
+    marked = keyed.join(F.broadcast(heavy), F.col("key") == F.col("_key"), "left").drop("_key")
     light = marked.where(F.col("heavy").isNull()).groupBy(F.col("range").alias("_range")).agg(
         F.sum("size").alias("light"))
     placed = marked.join(light, F.col("range") == F.col("_range"), "left").withColumns({
