@@ -28,15 +28,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from relaylens.llm.common import arrow_rows, texts
+from relaylens.llm.common import texts
 from relaylens.llm.pair_merges import PAD, PairTable, cut, merge
 from relaylens.llm.words import mix
 
 RATE = 0.1
 SEED = 7
 VARIANTS = 8
-REMEMBERED = 60_000
+REMEMBERED = 40_000
 LONGEST = 32  # characters of a segment in the matrix
+_CHUNK = 1 << 18
 _MASK = (1 << 64) - 1
 
 
@@ -56,19 +57,22 @@ class Pieces:
         self.bytes = [0] * 256
         self.ids: dict[str, int] = {}
         self.ranks: dict[str, tuple[float, int]] = {}
-        self.text: list[str | int | None] = []  # piece, byte, or none for a control symbol
+        parts: list[bytes] = []  # what each id stands for; nothing for a control symbol
         for i in range(model.get_piece_size()):
             piece = model.id_to_piece(i)
             if model.is_byte(i):
                 self.bytes[int(piece[3:5], 16)] = i
-                self.text.append(int(piece[3:5], 16))
+                parts.append(bytes([int(piece[3:5], 16)]))
             elif model.is_control(i) or model.is_unknown(i):
-                self.text.append(None)
+                parts.append(b"")
             else:
                 piece = piece.replace("▁", " ")
                 self.ids[piece] = i
                 self.ranks[piece] = (-model.get_score(i), i)
-                self.text.append(piece)
+                parts.append(piece.encode())
+        self.bytes_of = np.frombuffer(b"".join(parts), np.uint8)
+        self.size_of = np.fromiter(map(len, parts), np.int32, len(parts))
+        self.start_of = np.cumsum(self.size_of, dtype=np.int32) - self.size_of
         # Symbol of each character: its piece, or its byte; PAD if it takes several bytes.
         self.symbols = np.full(0x110000, PAD, np.uint32)
         self.symbols[:128] = self.bytes[:128]
@@ -85,7 +89,9 @@ class Encoder:
     def __init__(self, pieces: Pieces, rate: float = RATE, seed: int = SEED, variants: int = VARIANTS):
         self.pieces, self.seed, self.variants = pieces, seed, variants
         self.limit = int(rate * (1 << 64))
+        # Segments of the last two periods, by variant.
         self.known: list[dict[str, bytes]] = [{} for _ in range(variants)]
+        self.older: list[dict[str, bytes]] = [{} for _ in range(variants)]
         self.keys = np.array([self._key(v) for v in range(variants)], np.uint64)
 
     def variant(self, doc_id: int | None) -> int:
@@ -170,14 +176,22 @@ class Encoder:
 
     def encode_all(self, texts_: list[str], kinds: list[int]) -> list[bytes]:
         """Ids of each text under its variant, as little-endian 32-bit bytes."""
-        for known in self.known:
-            if len(known) > REMEMBERED:
-                known.clear()
         words = [split(t) if t else [] for t in texts_]
-        new: list[set[str]] = [set() for _ in self.known]
+        met: list[set[str]] = [set() for _ in self.known]
         for ws, variant in zip(words, kinds, strict=True):
-            new[variant].update(ws)
-        self._learn([(v, w) for v, met in enumerate(new) for w in met.difference(self.known[v])])
+            met[variant].update(ws)
+        new: list[tuple[int, str]] = []
+        for v in range(self.variants):
+            if len(self.known[v]) > REMEMBERED:
+                self.older[v], self.known[v] = self.known[v], {}
+            known, older = self.known[v], self.older[v]
+            for word in met[v].difference(known):
+                ids = older.get(word)
+                if ids is None:
+                    new.append((v, word))
+                else:
+                    known[word] = ids
+        self._learn(new)
         return [b"".join(map(self.known[v].__getitem__, ws)) for ws, v in zip(words, kinds, strict=True)]
 
     def encode(self, text: str, variant: int) -> bytes:
@@ -198,12 +212,15 @@ def split(text: str) -> list[str]:
     return out + [" " * spaces] if spaces >= 0 else out
 
 
-def decoded(pieces: Pieces, ids: list[int]) -> str:
-    parts = list(map(pieces.text.__getitem__, ids))
-    if any(type(p) is not str for p in parts):
-        parts = [b"".join(p.encode() if type(p) is str else bytes([p]) for p in parts
-                          if p is not None).decode()]
-    return "".join(parts)[1:]
+def decoded(pieces: Pieces, ids: np.ndarray) -> str:
+    """The text of some ids, without the space that encoding put before it."""
+    out = []
+    for low in range(0, len(ids), _CHUNK):
+        part = ids[low:low + _CHUNK]
+        size = pieces.size_of[part]
+        first = pieces.start_of[part] - (np.cumsum(size, dtype=np.int32) - size)
+        out.append(pieces.bytes_of[np.repeat(first, size) + np.arange(size.sum(), dtype=np.int32)].tobytes())
+    return b"".join(out)[1:].decode()
 
 
 _pieces: dict[str, Pieces] = {}
@@ -239,11 +256,16 @@ def encode(docs: DataFrame, model: str, rate: float = RATE, seed: int = SEED, va
 
 
 def decode(encoded: DataFrame, model: str, keep: tuple[str, ...] = ()) -> DataFrame:
-    """The columns ``keep`` and ``text``, decoded from ``ids``."""
-    def rows(ids, *kept):
+    """The columns ``keep`` and ``text``, decoded from ``ids`` (null: an empty text)."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = pieces_of(model)
-        return [(*k, decoded(pieces, i or [])) for i, *k in zip(ids, *kept, strict=True)]
+        for batch in batches:
+            lists = batch.column(0)
+            ids, ends = lists.values.to_numpy(), lists.offsets.to_numpy()
+            bodies = [decoded(pieces, ids[a:b]) for a, b in zip(ends[:-1], ends[1:], strict=True)]
+            yield pa.RecordBatch.from_arrays(
+                [*batch.columns[1:], pa.array(bodies, pa.string())], [*keep, "text"])
 
     schema = ", ".join([*(f"`{c}` {encoded.schema[c].dataType.simpleString()}" for c in keep),
                         "text string"])
-    return encoded.select("ids", *keep).mapInArrow(arrow_rows(rows, schema), schema)
+    return encoded.select("ids", *keep).mapInArrow(run, schema)
