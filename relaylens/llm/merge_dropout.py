@@ -35,7 +35,7 @@ from relaylens.llm.words import mix
 RATE = 0.1
 SEED = 7
 VARIANTS = 8
-REMEMBERED = 40_000
+REMEMBERED = 30_000
 LONGEST = 32  # characters of a segment in the matrix
 _CHUNK = 1 << 18
 _MASK = (1 << 64) - 1
