@@ -48,16 +48,23 @@ def first_paths(raw: DataFrame) -> DataFrame:
 
 
 def dedup_raw(raw: DataFrame) -> DataFrame:
-    """One row per content, the copy with the smallest path.
+    """One row per content, the copy with the smallest path; a null path only if no copy has one.
 
-    Only ids and paths are aggregated.  The other copies' paths are the small side of an anti join
-    that Spark broadcasts where its size allows, so contents are scanned again but not sorted.
+    Only ids and paths are aggregated.  Paths of other copies are the small side of an anti join on id and
+    path that Spark broadcasts where its size allows, so contents are scanned again but not sorted; a larger one
+    takes a sort-merge join.  Only copies that share the smallest path too (or all have none)
+    are folded as rows: the smallest values of the other columns, compared in their order, stay.
     """
-    first = first_paths(raw).select(F.col("email_id").alias("_id"), F.col("path").alias("_first"))
-    others = raw.select("email_id", "path").join(first, F.col("email_id") == F.col("_id")).where(
-        F.col("path") > F.col("_first")).select("path")
-    return raw.join(others, "path", "left_anti").select("email_id", *(
-        c for c in raw.columns if c != "email_id"))
+    copies = raw.groupBy("email_id", "path").agg(F.count(F.lit(1)).alias("_n"))
+    first = first_paths(copies).select(F.col("email_id").alias("_id"), F.col("path").alias("_first"))
+    copies = copies.join(first, F.col("email_id").eqNullSafe(F.col("_id"))).select(
+        "_id", F.col("path").alias("_path"), F.col("path").eqNullSafe(F.col("_first")).alias("_is_first"), "_n")
+    same = raw["email_id"].eqNullSafe(F.col("_id")) & raw["path"].eqNullSafe(F.col("_path"))
+    single = raw.join(copies.where(~F.col("_is_first") | (F.col("_n") > 1)), same, "left_anti")
+    tied = raw.join(copies.where(F.col("_is_first") & (F.col("_n") > 1)), same, "left_semi")
+    others = [c for c in raw.columns if c != "email_id"]
+    folded = tied.groupBy("email_id").agg(F.min(F.struct(*others)).alias("_r")).select("email_id", "_r.*")
+    return single.select("email_id", *others).unionByName(folded)
 
 
 def dedup_messages(messages: DataFrame) -> DataFrame:
