@@ -50,28 +50,27 @@ class PairTable:
 
 
 def merge(table: PairTable, grid: np.ndarray,
-          skip: Callable[[np.ndarray, np.ndarray, np.ndarray], np.ndarray] | None = None) -> np.ndarray:
+          skip: Callable[[np.ndarray], np.ndarray] | None = None) -> np.ndarray:
     """Rows of ids, padded with PAD, after all merges.
 
     Each step takes the pair of lowest rank, leftmost first, of every row that has one.  With
-    ``skip(rows, places, results)`` a pair can be dropped instead; it stays dropped until a merge
-    beside it makes another pair.  A place is the column of a symbol before any merge.
+    ``skip(rows)``, asked once a step for the rows that have a pair, the pair can be dropped instead; it
+    stays dropped until a merge beside it makes another pair.
     """
     ranks, results = table.find(grid[:, :-1], grid[:, 1:])
     out, rows = grid.copy(), np.arange(len(grid))
     columns = np.arange(grid.shape[1])
-    places = np.broadcast_to(columns, grid.shape)
     while True:
         best = ranks.argmin(axis=1)
         go = ranks[np.arange(len(rows)), best] < NONE
-        out[rows[~go]] = grid[~go]
-        if not go.any():
-            return out
-        rows, grid, places, ranks, results, best = (
-            rows[go], grid[go], places[go], ranks[go], results[go], best[go])
+        if not len(go) or not go.all():
+            out[rows[~go]] = grid[~go]
+            if not go.any():
+                return out
+            rows, grid, ranks, results, best = rows[go], grid[go], ranks[go], results[go], best[go]
         n = np.arange(len(rows))
         if skip is not None:
-            drop = skip(rows, places[n, best], results[n, best])
+            drop = skip(rows)
             ranks[n[drop], best[drop]] = NONE
             n, best = n[~drop], best[~drop]
             if not len(n):
@@ -79,8 +78,6 @@ def merge(table: PairTable, grid: np.ndarray,
         new = results[n, best]
         after = columns > best[:, None]
         grid[n] = np.where(after, _shifted(grid[n], PAD), grid[n])
-        places = places.copy() if not places.flags.writeable else places
-        places[n] = np.where(after, _shifted(places[n], 0), places[n])
         ranks[n] = np.where(after[:, :-1], _shifted(ranks[n], NONE), ranks[n])
         results[n] = np.where(after[:, :-1], _shifted(results[n], PAD), results[n])
         grid[n, best] = new
