@@ -4,13 +4,13 @@ A suffix automaton of labelled text per language yields the longest match at any
 text can be parsed greedily into phrases that occur in that language's text.  The language that
 needs the fewest phrases per character wins.
 
-* Training: labelled documents in the order of a hash of their id, at most ``CHARS_PER_DOCUMENT``
-  characters of each, until a language has ``CHARS_PER_LANGUAGE``.  This bound is the only limit; it
-  makes the automata a broadcast of fixed size (languages x characters).
+* Training: the different labelled texts in the order of their hash, at most ``CHARS_PER_DOCUMENT``
+  characters from a hashed place of each, until a language has ``CHARS_PER_LANGUAGE``.  This bound is the
+  only limit; it makes the automata a broadcast of fixed size (languages x characters).
 * Prediction reads every whole text, in lower case.  The segments that are parsed are the runs of
   letters with one space on either side (runs of over 64 letters are cut), so a word's phrase
   counts are a pure function of the word and are remembered in a bounded table per worker.
-* Nothing is shuffled but the aggregated counts of the training sample.
+* Nothing is shuffled but a hash and a length of each labelled text, and the training sample.
 
 Defined cases: a null text or a text without a letter gets ``und`` and score 0; equal phrase
 counts go to the language with the larger sum of squared match lengths, then to the smaller
@@ -157,16 +157,19 @@ def model_of(training: tuple[tuple[str, str], ...]) -> Model:
 
 
 def training_texts(labelled: DataFrame, chars: int = CHARS_PER_LANGUAGE) -> tuple[tuple[str, str], ...]:
-    """(language, text) pairs from a bounded sample of ``labelled`` (lang, text, doc_id).
+    """(language, text) pairs from a bounded sample of ``labelled`` (lang, text).
 
-    Documents are drawn by a hash of their id, about four times as many as are wanted, and each
-    gives at most ``CHARS_PER_DOCUMENT`` characters, so a wrong label or a very long document
-    weighs little and what reaches the driver is bounded whatever the size of the input.
+    Texts are drawn by a hash, about four times as many as are wanted, so copies of one text count
+    once.  Each gives at most ``CHARS_PER_DOCUMENT`` characters from a hashed place on, so a wrong label,
+    a very long document or a common beginning weighs little and what reaches the driver is bounded
+    whatever the size of the input.
     """
     usable = labelled.where(F.col("lang").isNotNull() & (F.length("text") > 0))
-    draw = F.pmod(F.xxhash64("doc_id", F.lit("language sample")), F.lit(1 << 40)) / F.lit(float(1 << 40))
+    draw = F.pmod(F.xxhash64("text", F.lit("language sample")), F.lit(1 << 40)) / F.lit(float(1 << 40))
     part = F.least(F.length("text"), F.lit(CHARS_PER_DOCUMENT))
-    sizes = usable.groupBy("lang").agg(F.sum(part).alias("chars"))
+    place = F.pmod(F.xxhash64("text", F.lit("place")), (F.length("text") - part + 1).cast("long")).cast("int")
+    different = usable.groupBy("lang", F.xxhash64("text").alias("_text")).agg(F.max(part).alias("_part"))
+    sizes = different.groupBy("lang").agg(F.sum("_part").alias("chars"))
     rates = {r["lang"]: 4.0 * chars / r["chars"] for r in sizes.collect()}
     if not rates:
         return ()
@@ -174,10 +177,14 @@ def training_texts(labelled: DataFrame, chars: int = CHARS_PER_LANGUAGE) -> tupl
     for lang, r in rates.items():
         rate = F.when(F.col("lang") == lang, F.lit(r)).otherwise(rate)
     sample = usable.where(draw < rate).select(
-        "lang", draw.alias("draw"), F.substring("text", 1, CHARS_PER_DOCUMENT).alias("text"))
+        "lang", draw.alias("draw"), (place > 0).alias("inside"),
+        F.col("text").substr(place + 1, F.lit(CHARS_PER_DOCUMENT)).alias("text")).distinct()
     taken: dict[str, list[str]] = {lang: [] for lang in rates}
     for row in sorted(sample.collect(), key=lambda r: (r["lang"], r["draw"], r["text"])):
-        taken[row["lang"]].append(row["text"].rsplit(None, 1)[0] if row["text"].strip() else "")
+        piece = row["text"]
+        if row["inside"] and piece.strip():  # begins within a word
+            piece = piece.split(None, 1)[-1]
+        taken[row["lang"]].append(piece.rsplit(None, 1)[0] if piece.strip() else "")
     return tuple((lang, " ".join(parts)[:chars]) for lang, parts in sorted(taken.items()) if parts)
 
 
