@@ -44,7 +44,7 @@ LEVELS = 5  # occurrences 1, 2, 4, 8, 16
 HASHES = 4
 BITS_PER_ENTRY = 8  # at least; the number of bits is a power of two
 SHARD = 512
-SHARD_BYTES = 1 << 20
+SHARD_BYTES = 3 << 17  # rows stay below half a heap region of a small executor
 SHARD_CELLS = 1 << 25
 TERMS = 4096  # terms whose bitmaps are unpacked at a time
 ITEMS, ITEM_BYTES = 512, 1 << 18
