@@ -38,21 +38,7 @@ SCHEMA = (f"n_words long, runs array<struct<{RUN}>>, strongest struct<{RUN}>, co
 
 def word_ids(datas: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """Names of the words of all texts, each text followed by a word of its own; number of words of each."""
-    kept, lengths, counts = [], [], []
-    for data in datas:
-        starts, ends = words.spans(data)
-        inside = np.zeros(len(data) + 1, np.int8)
-        np.add.at(inside, starts, 1)
-        np.add.at(inside, ends, -1)
-        kept.append(np.frombuffer(data, np.uint8)[np.cumsum(inside[:-1], dtype=np.int8).astype(bool)])
-        lengths.append(ends - starts)
-        counts.append(len(starts))
-    flat = np.concatenate(kept)
-    offsets = np.concatenate([[0], np.cumsum(np.concatenate(lengths))]).astype(np.int64)
-    plain = pa.LargeBinaryArray.from_buffers(
-        pa.large_binary(), len(offsets) - 1, [None, pa.py_buffer(offsets), pa.py_buffer(flat)])
-    names = plain.dictionary_encode().indices.to_numpy(zero_copy_only=False).astype(np.int64)
-    n = np.asarray(counts, np.int64)
+    names, _, n = words.numbered(datas)
     out = np.empty(len(names) + len(n), np.int64)
     ends = np.cumsum(n + 1) - 1
     apart = np.zeros(len(out), bool)

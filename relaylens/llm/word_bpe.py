@@ -1,7 +1,9 @@
 """Ids of words by byte-pair merges with a word-end mark, many words at a time.
 
-Runs of letters are merged as one numpy matrix, one merge per word and step, with the ranks of
-the tokenizer file; every other word goes to the tokenizers library itself.
+The words of many texts are numbered by Arrow; each different word is encoded or looked up once, and
+the ids of the texts are gathered by these numbers.  Runs of letters are merged as one numpy matrix, one
+merge per word and step, with the ranks of the tokenizer file; every other word goes to the
+tokenizers library itself.
 """
 
 from __future__ import annotations
@@ -11,13 +13,16 @@ import os
 import re
 from array import array
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
-
+from relaylens.llm import words
 from relaylens.llm.pair_merges import PAD, PairTable, cut, merge
 
-REMEMBERED = 200_000
+REMEMBERED = 1 << 27  # bytes of words, ids and table entries in one period
 SLICE = 1 << 20
+TOGETHER = 1 << 23  # characters whose words are numbered together
+_ENTRY = 180  # bytes of a table entry besides word and ids
 LONGEST = 24  # bytes of a run of letters in the matrix
 _LETTERS = "a-zß-öø-ɏ"  # lower case, stable under NFC, and letters in every sense
 #: Letters with other ASCII marks around; digits and the apostrophe have rules of their own.
@@ -64,61 +69,83 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer, self.merges = Tokenizer.from_file(path), Merges(path)
-        self.known: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
-        self.runs: dict[str, bytes] = {}
+        self.known: dict[bytes, bytes] = {}
+        self.older: dict[bytes, bytes] = {}
+        self.size = 0
+
+    def _keep(self, word: bytes, ids: bytes) -> None:
+        self.known[word] = ids
+        self.size += len(word) + len(ids) + _ENTRY
 
-    def _by_library(self, words: list[str]) -> None:
-        for i in range(0, len(words), 4096):
-            part = words[i:i + 4096]
+    def _by_library(self, names: list[str]) -> None:
+        for i in range(0, len(names), 4096):
+            part = names[i:i + 4096]
             for w, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False),
                             strict=True):
-                self.known[w] = array("I", e.ids).tobytes()
-
-    def _learn(self, words: list[list[str]]) -> None:
-        met: set[str] = set()
-        for ws in words:
-            met.update(ws)
-        if len(self.known) > REMEMBERED:
-            self.older, self.known = self.known, {}
-        if len(self.runs) > REMEMBERED:
-            self.runs = {}
+                self._keep(w.encode(), array("I", e.ids).tobytes())
+
+    def _new(self, word: bytes) -> bool:
+        """Whether the word is still unknown; a word of the older period moves to this one."""
+        if word in self.known:
+            return False
+        ids = self.older.get(word)
+        if ids is not None:
+            self._keep(word, ids)
+        return ids is None
+
+    def _learn(self, unknown: list[bytes]) -> None:
         plain, other, runs = [], set(), {}
-        for w in met.difference(self.known):
-            ids = self.older.get(w)
-            if ids is not None:
-                self.known[w] = ids
-                continue
+        for word in unknown:
+            w = word.decode()
             found = _PLAIN.fullmatch(w.lower())
-            if not found or w.startswith("<|"):
+            if not found or "<|" in w:
                 other.add(w)
                 continue
             before, run, after = found.groups()
-            if run not in self.runs and run not in runs:
-                runs[run] = run.encode()
-            other.update(x for x in (before, after) if x and x not in self.known)
-            plain.append((w, before, run, after))
-        long = [r for r, data in runs.items() if len(data) > LONGEST]
-        other.update(long)
+            data = run.encode()
+            if data not in runs and self._new(data):
+                if len(data) > LONGEST:
+                    other.add(run)
+                else:
+                    runs[data] = None
+            other.update(x for x in (before, after) if x and self._new(x.encode()))
+            if word != data:
+                plain.append((word, before.encode(), data, after.encode()))
         self._by_library(list(other))
-        for r in long:
-            self.runs[r] = self.known[r]
-            del runs[r]
-        names = list(runs)
+        names = sorted(runs, key=len)  # rows of one matrix have about the same length
         for i in range(0, len(names), 8192):
             part = names[i:i + 8192]
-            self.runs.update(zip(part, self.merges.encode([runs[r] for r in part]), strict=True))
-        for w, before, run, after in plain:
-            ids = self.runs[run]
-            if before:
-                ids = self.known[before] + ids
-            self.known[w] = ids + self.known[after] if after else ids
-
-    def batch(self, bodies: list[str]) -> Iterator[bytes]:
-        words = [folded(b).replace("\n", " ").split(" ") for b in bodies]
-        self._learn(words)
-        for ws in words:
-            yield b"".join(map(self.known.__getitem__, ws))
+            for data, ids in zip(part, self.merges.encode(part), strict=True):
+                self._keep(data, ids)
+        known = self.known
+        for word, before, run, after in plain:
+            self._keep(word, (known[before] if before else b"") + known[run] + (known[after] if after else b""))
+
+    def ids_of(self, names: list[bytes]) -> list[bytes]:
+        """Ids of different words."""
+        if self.size > REMEMBERED:
+            self.older, self.known, self.size = self.known, {}, 0
+        unknown = [w for w in names if self._new(w)]
+        if unknown:
+            self._learn(unknown)
+        return list(map(self.known.__getitem__, names))
+
+    def _together(self, bodies: list[str]) -> list[bytes]:
+        """Ids of each body: words numbered over all bodies, ids gathered by number."""
+        datas = [folded(b).encode() for b in bodies]
+        numbers, names, counts = words.numbered(datas)
+        if not len(numbers):
+            return [b""] * len(bodies)
+        ids = self.ids_of(names)
+        flat = np.frombuffer(b"".join(ids), "<u4")
+        length = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        first = np.cumsum(length) - length
+        many = length[numbers]
+        ends = np.cumsum(many)
+        at = np.arange(ends[-1]) + np.repeat(first[numbers] - (ends - many), many)
+        out = flat[at].tobytes()
+        cuts = [0, *(4 * np.concatenate([[0], ends])[np.cumsum(counts)]).tolist()]
+        return [out[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
 
     def encode(self, bodies: list[str]) -> Iterator[bytes]:
         """Ids of each body; long texts are cut into slices at white space."""
@@ -126,16 +153,22 @@ class Encoder:
         size = 0
         for body in bodies:
             if len(body) > SLICE:
-                yield from self.batch(few)
+                yield from self._together(few)
                 few, size = [], 0
-                yield b"".join(x for part in slices(body) for x in self.batch([part]))
+                yield b"".join(x for part in slices(body) for x in self._together([part]))
                 continue
             few.append(body)
             size += len(body)
-            if size > SLICE:
-                yield from self.batch(few)
+            if size > TOGETHER:
+                yield from self._together(few)
                 few, size = [], 0
-        yield from self.batch(few)
+        yield from self._together(few)
+
+
+@lru_cache(maxsize=1)
+def encoder_of(path: str) -> Encoder:
+    """One encoder per worker process: what it has learned serves the worker's later tasks too."""
+    return Encoder(path)
 
 
 def folded(body: str) -> str:

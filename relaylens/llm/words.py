@@ -7,6 +7,7 @@ arithmetic wraps modulo 2**64, so a hash depends on the bytes of its words alone
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 
 BASE = np.uint64(0x9E3779B97F4A7C15)  # odd, hence invertible modulo 2**64
 _INVERSE = np.uint64(pow(int(BASE), -1, 1 << 64))
@@ -32,6 +33,22 @@ def spans(data: bytes) -> tuple[np.ndarray, np.ndarray]:
     return np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
 
 
+def numbered(datas: list[bytes]) -> tuple[np.ndarray, list[bytes], np.ndarray]:
+    """The words of all texts as numbers from 0, the different words by number, words per text."""
+    kept, lengths, counts = [np.empty(0, np.uint8)], [np.zeros(1, np.int64)], []
+    for data in datas:
+        starts, ends = spans(data)
+        bytes_ = np.frombuffer(data, np.uint8)
+        kept.append(bytes_[~_SPACE[bytes_]])
+        lengths.append(ends - starts)
+        counts.append(len(starts))
+    offsets = np.cumsum(np.concatenate(lengths), dtype=np.int64)
+    plain = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(offsets) - 1, [
+        None, pa.py_buffer(offsets), pa.py_buffer(np.concatenate(kept))]).dictionary_encode()
+    return (plain.indices.to_numpy(zero_copy_only=False).astype(np.int64), plain.dictionary.to_pylist(),
+            np.asarray(counts, np.int64))
+
+
 def _tables(n: int) -> tuple[np.ndarray, np.ndarray]:
     if len(_powers[0]) <= n:
         size = 1 << max(12, int(n).bit_length())
