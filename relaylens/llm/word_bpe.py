@@ -22,6 +22,9 @@ from relaylens.llm.pair_merges import PAD, PairTable, cut, merge
 REMEMBERED = 1 << 27  # bytes of words, ids and table entries in one period
 SLICE = 1 << 20
 TOGETHER = 1 << 23  # characters whose words are numbered together
+#: After an ASCII letter these begin a token, whatever follows.
+_MARK = np.zeros(256, np.bool_)
+_MARK[list(b".,!?;:")] = True
 _ENTRY = 180  # bytes of a table entry besides word and ids
 LONGEST = 24  # bytes of a run of letters in the matrix
 _LETTERS = "a-zß-öø-ɏ"  # lower case, stable under NFC, and letters in every sense
@@ -96,6 +99,16 @@ class Encoder:
     def _learn(self, unknown: list[bytes]) -> None:
         plain, other, runs = [], set(), {}
         for word in unknown:
+            if word.isalpha():  # ASCII letters alone
+                data = word.lower()
+                if data not in runs and (data == word or self._new(data)):
+                    if len(data) > LONGEST:
+                        other.add(data.decode())
+                    else:
+                        runs[data] = None
+                if word != data:
+                    plain.append((word, b"", data, b""))
+                continue
             w = word.decode()
             found = _PLAIN.fullmatch(w.lower())
             if not found or "<|" in w:
@@ -125,15 +138,16 @@ class Encoder:
         """Ids of different words."""
         if self.size > REMEMBERED:
             self.older, self.known, self.size = self.known, {}, 0
-        unknown = [w for w in names if self._new(w)]
+        found = list(map(self.known.get, names))
+        unknown = [w for w, ids in zip(names, found, strict=True) if ids is None and self._new(w)]
         if unknown:
             self._learn(unknown)
-        return list(map(self.known.__getitem__, names))
+        return [self.known[w] if ids is None else ids for w, ids in zip(names, found, strict=True)]
 
     def _together(self, bodies: list[str]) -> list[bytes]:
         """Ids of each body: words numbered over all bodies, ids gathered by number."""
         datas = [folded(b).encode() for b in bodies]
-        numbers, names, counts = words.numbered(datas)
+        numbers, names, counts = words.numbered(datas, _MARK)
         if not len(numbers):
             return [b""] * len(bodies)
         ids = self.ids_of(names)

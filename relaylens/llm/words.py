@@ -13,8 +13,11 @@ BASE = np.uint64(0x9E3779B97F4A7C15)  # odd, hence invertible modulo 2**64
 _INVERSE = np.uint64(pow(int(BASE), -1, 1 << 64))
 _SPACE = np.zeros(256, np.bool_)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
+_LETTER = np.zeros(256, np.bool_)
+_LETTER[[*range(0x41, 0x5B), *range(0x61, 0x7B)]] = True
 _powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 _BLOCK = 1 << 20
+_TOGETHER = 1 << 17
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -33,20 +36,36 @@ def spans(data: bytes) -> tuple[np.ndarray, np.ndarray]:
     return np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
 
 
-def numbered(datas: list[bytes]) -> tuple[np.ndarray, list[bytes], np.ndarray]:
-    """The words of all texts as numbers from 0, the different words by number, words per text."""
-    kept, lengths, counts = [np.empty(0, np.uint8)], [np.zeros(1, np.int64)], []
-    for data in datas:
-        starts, ends = spans(data)
-        bytes_ = np.frombuffer(data, np.uint8)
-        kept.append(bytes_[~_SPACE[bytes_]])
-        lengths.append(ends - starts)
-        counts.append(len(starts))
+def numbered(datas: list[bytes], starts_too: np.ndarray | None = None
+             ) -> tuple[np.ndarray, list[bytes], np.ndarray]:
+    """The words of all texts as numbers from 0, the different words by number, words per text.
+
+    With ``starts_too`` a word is also cut before each byte for which it holds after an ASCII letter.
+    """
+    kept, lengths, counts = [np.empty(0, np.uint8)], [np.zeros(1, np.int64)], [np.empty(0, np.int64)]
+    first = 0
+    while first < len(datas):  # so many texts at a time that the arrays stay in the cache
+        last, size = first, 0
+        while last < len(datas) and (last == first or size + len(datas[last]) <= _TOGETHER):
+            size += len(datas[last]) + 1
+            last += 1
+        bytes_ = np.frombuffer(b"\n".join(datas[first:last]), np.uint8)
+        inside = ~_SPACE[bytes_]
+        start = inside.copy()
+        start[1:] &= ~inside[:-1] if starts_too is None else ~inside[:-1] | (
+            starts_too[bytes_[1:]] & _LETTER[bytes_[:-1]])
+        starts = np.flatnonzero(start)
+        part = bytes_[inside]
+        lengths.append(np.diff((np.cumsum(inside, dtype=np.int32) - 1)[starts], append=len(part)))
+        kept.append(part)
+        edges = np.cumsum([0, *(len(d) + 1 for d in datas[first:last])])
+        counts.append(np.diff(np.searchsorted(starts, edges)))
+        first = last
     offsets = np.cumsum(np.concatenate(lengths), dtype=np.int64)
     plain = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(offsets) - 1, [
         None, pa.py_buffer(offsets), pa.py_buffer(np.concatenate(kept))]).dictionary_encode()
     return (plain.indices.to_numpy(zero_copy_only=False).astype(np.int64), plain.dictionary.to_pylist(),
-            np.asarray(counts, np.int64))
+            np.concatenate(counts))
 
 
 def _tables(n: int) -> tuple[np.ndarray, np.ndarray]:
