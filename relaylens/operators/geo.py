@@ -2,8 +2,8 @@
 
 Scale notes.  Addresses are reduced to distinct ones before any look-up (map-side combined, so a
 relay that sits in a third of all mail costs one row).  The range look-up is an ordered merge
-inside /16 buckets instead of a ``between`` join: a bucket holds at most 65,536 addresses, so no
-group can grow with the data and no pairs are formed.
+inside buckets instead of a ``between`` join, so no pairs are formed: /16 buckets for IPv4, which
+hold at most 65,536 addresses, and segments between sampled splitters for IPv6 (ranges6).
 """
 
 from __future__ import annotations
@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from relaylens import fixed_values as fv
 from relaylens.functions import ip
 from relaylens.functions.text import any_of, dense, unnest
+from relaylens.operators import ranges6
 from relaylens.operators.hops import is_public
 
 BUCKET = 65536
@@ -53,7 +54,7 @@ def range_lookup(ips: DataFrame, dims: dict[str, DataFrame]) -> DataFrame:
     """Add one struct column per dimension: the record of the range that holds ``ip_num``.
 
     Each dimension has ``lo``, ``hi`` and disjoint ranges (see ``without_overlaps``), and for IPv6
-    rows with ``lo6``, ``hi6`` of 32 hex digits instead.  All of them
+    rows with ``lo6``, ``hi6`` of 32 hex digits instead.  The IPv4 ones
     share one shuffle: range starts and addresses are unioned, and a running ``last`` in address
     order carries the latest start to each address.  A range adds one row per /16 it touches,
     which for disjoint ranges is at most 65,536 rows over the whole dimension.
@@ -89,8 +90,8 @@ def range_lookup(ips: DataFrame, dims: dict[str, DataFrame]) -> DataFrame:
     others = ips.where(F.col("ip_num").isNull())
     wide = {n: d for n, d in dims.items() if "lo6" in d.columns}
     if wide and "ip_hex" in ips.columns:
-        hits = hits.unionByName(
-            _lookup6(others.where(F.col("ip_hex").isNotNull()), wide), allowMissingColumns=True)
+        hits = hits.unionByName(ranges6.lookup(
+            others.where(F.col("ip_hex").isNotNull()), wide, _payload), allowMissingColumns=True)
         others = others.where(F.col("ip_hex").isNull())
     return hits.unionByName(others, allowMissingColumns=True)
 
@@ -102,45 +103,6 @@ def _payload(dim: DataFrame) -> Column:
     return F.struct(*[c for c in dim.columns if c not in _KEYS])
 
 
-def _pieces6(dim: DataFrame, narrow: bool) -> DataFrame:
-    """IPv6 ranges with their ``bucket``: the /32 of a range inside one, else each /16 it touches."""
-    rows = dim.where((F.col("lo6") <= F.col("hi6")) & (
-        (F.substring("lo6", 1, 8) == F.substring("hi6", 1, 8)) == F.lit(narrow)))
-    if narrow:
-        return rows.withColumns({"bucket": F.substring("lo6", 1, 8), "at": F.col("lo6")})
-    first, last = (F.conv(F.substring(c, 1, 4), 16, 10).cast("int") for c in ("lo6", "hi6"))
-    return rows.withColumn("bucket", F.explode(F.sequence(first, last))).withColumn(
-        "bucket", F.lpad(F.lower(F.hex("bucket")), 4, "0")).withColumn(
-        "at", F.greatest("lo6", F.rpad("bucket", 32, "0")))
-
-
-def _lookup6(ips: DataFrame, dims: dict[str, DataFrame]) -> DataFrame:
-    """The same merge on hex digits, for ranges wider than a /32 and then for narrower ones, which
-    win."""
-    names = list(dims)
-    for narrow in (False, True):
-        marks = ips.select(
-            F.substring("ip_hex", 1, 8 if narrow else 4).alias("bucket"), F.col("ip_hex").alias("at"),
-            F.lit(1).alias("kind"), F.struct(*ips.columns).alias("ask"))
-        for name, dim in dims.items():
-            record = F.struct("hi6", _payload(dim).alias("rec")).alias(f"_{name}")
-            marks = marks.unionByName(_pieces6(dim, narrow).select(
-                "bucket", "at", F.lit(0).alias("kind"), record), allowMissingColumns=True)
-        order = Window.partitionBy("bucket").orderBy("at", "kind") \
-            .rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        found = marks.select("at", "kind", "ask", *[
-            F.last(f"_{n}", ignorenulls=True).over(order).alias(f"_{n}") for n in names]).where(
-            F.col("kind") == 1)
-
-        def hit(n: str) -> Column:
-            return F.when(F.col("at") <= F.col(f"_{n}.hi6"), F.col(f"_{n}.rec"))
-
-        kept = [c for c in ips.columns if c not in names]
-        ips = found.select(*[F.col(f"ask.{c}") for c in kept], *[
-            F.coalesce(hit(n), F.col(f"ask.{n}")).alias(n) if narrow else hit(n).alias(n) for n in names])
-    return ips
-
-
 def disjoint_ranges(ranges: DataFrame) -> DataFrame:
     """Cut overlapping ranges into disjoint ones; the narrowest range wins everywhere.
 
@@ -192,43 +154,40 @@ def disjoint_ranges(ranges: DataFrame) -> DataFrame:
     return chosen.select(F.col("at").alias("lo"), F.col("end").alias("hi"), "best.rec.*")
 
 
-def has_overlaps(ranges: DataFrame) -> bool:
-    """Whether two ranges share an address: in any /16, the next range starts before one ends."""
-    pieces = ranges.where(F.col("lo") <= F.col("hi")).select(
-        "lo", "hi", F.explode(F.expr(f"sequence(lo div {BUCKET}, hi div {BUCKET})")).alias("bucket"))
-    order = Window.partitionBy("bucket").orderBy("lo", "hi")
-    return not pieces.withColumn("next", F.lead("lo").over(order)).where(
-        F.col("next") <= F.col("hi")).isEmpty()
-
+def without_overlaps(dims: dict[str, DataFrame]) -> dict[str, DataFrame]:
+    """The tables themselves where they are disjoint, else cut so that the narrowest range wins.
 
-def without_overlaps(ranges: DataFrame) -> DataFrame:
-    """The ranges themselves if they are disjoint, else cut so that the narrowest one wins.
-
-    A running look-up over nested ranges would lose the outer one, so this is always checked.  IPv6
-    ranges may be nested only as one inside a /32 and one wider than a /32; others are refused.
+    A running look-up over nested ranges would lose the outer one, so this is always checked: all
+    tables and both address families at once.  IPv4 bounds are compared as hex digits too.
     """
-    if "lo6" in ranges.columns:
-        for narrow in (False, True):
-            order = Window.partitionBy("bucket").orderBy("at", "hi6")
-            pieces = _pieces6(ranges, narrow).withColumn("next", F.lead("at").over(order))
-            if not pieces.where(F.col("next") <= F.col("hi6")).isEmpty():
-                raise ValueError("IPv6 ranges overlap; cut them before the look-up")
-    if not has_overlaps(ranges):
-        return ranges
-    return disjoint_ranges(ranges).unionByName(ranges.where(F.col("lo").isNull()))
+    four = {f"4{n}": d.where(F.col("lo").isNotNull()).select(
+        *[F.lpad(F.hex(c), 16, "0").alias(f"{c}6") for c in ("lo", "hi")]) for n, d in dims.items()}
+    six = {f"6{n}": d for n, d in dims.items() if "lo6" in d.columns}
+    met = ranges6.overlapping({**four, **six})
+    out = {}
+    for name, dim in dims.items():
+        if f"4{name}" not in met and f"6{name}" not in met:
+            out[name] = dim
+            continue
+        narrow = dim.where(F.col("lo").isNotNull())
+        cut = disjoint_ranges(narrow) if f"4{name}" in met else narrow
+        if "lo6" in dim.columns:
+            wide = dim.where(F.col("lo").isNull())
+            cut = cut.unionByName(ranges6.disjoint(wide) if f"6{name}" in met else wide)
+        out[name] = cut
+    return out
 
 
 def _present(dim: DataFrame) -> DataFrame:
     """Give a dimension all look-up fields; the ones it lacks are null."""
-    return _with_ipv6(dim).select(*_KEYS, *[
+    return dim.select(*_keys(dim), *[
         (F.col(f) if f in dim.columns else F.lit(None).cast(_TYPES.get(f, "string"))).alias(f)
         for f in RANGE_FIELDS
     ])
 
 
-def _with_ipv6(dim: DataFrame) -> DataFrame:
-    return dim if "lo6" in dim.columns else dim.withColumns({
-        c: F.lit(None).cast("string") for c in ("lo6", "hi6")})
+def _keys(dim: DataFrame) -> list[str]:
+    return [c for c in _KEYS if c in dim.columns]
 
 
 def classify(proxy: Column, hosting: Column, mobile: Column, isp: Column, org: Column,
@@ -253,19 +212,23 @@ def ip_intel(
     asn: DataFrame | None = None,
     fallback: DataFrame | None = None,
     ptr: DataFrame | None = None,
+    disjoint: bool = False,
 ) -> DataFrame:
     """One row per distinct address with everything known about it.
 
+    ``disjoint`` says that no table has overlapping ranges; else that is checked here.
+
     ``fallback`` and ``ptr`` are the second source and the host names; leaving both out is the
     offline mode.  The second source fills in only where the first gave no country, and then its
     non-null values win.
     """
     dims = {"city": _present(city)}
     if asn is not None:
-        dims["net"] = _with_ipv6(asn).select(*_KEYS, "asn", "asn_name")
+        dims["net"] = asn.select(*_keys(asn), "asn", "asn_name")
     if fallback is not None:
         dims["second"] = _present(fallback)
-    dims = {name: without_overlaps(dim) for name, dim in dims.items()}
+    if not disjoint:
+        dims = without_overlaps(dims)
     looked = range_lookup(gate(distinct_ips(usage)), dims)
     use_second = (
         F.coalesce(F.col("city.country"), F.lit("")) == "" if fallback is not None else None

@@ -8,7 +8,7 @@ per-message step that reads text runs before the first shuffle and the texts are
 from __future__ import annotations
 
 import uuid
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame
 
@@ -28,13 +28,24 @@ TEXT_COLUMNS = [
 class Dimensions:
     """Look-up tables.  Leaving out ``fallback`` and ``ptr`` is the offline mode.
 
-    Ranges may overlap: the narrowest one that holds an address wins (geo.without_overlaps).
+    Ranges may overlap: the narrowest one that holds an address wins (geo.without_overlaps).  That
+    is checked whenever they are used, or once by ``checked``.
     """
 
     city: DataFrame
     asn: DataFrame | None = None
     fallback: DataFrame | None = None
     ptr: DataFrame | None = None
+    disjoint: bool = False
+
+    def checked(self) -> Dimensions:
+        """The same look-ups with disjoint ranges; tables that had to be cut are written once."""
+        if self.disjoint:
+            return self
+        given = {n: d for n in ("city", "asn", "fallback") if (d := getattr(self, n)) is not None}
+        cut = geo.without_overlaps(given)
+        return replace(self, disjoint=True, **{
+            n: d if d is given[n] else staged(d, n) for n, d in cut.items()})
 
 
 def trace_facts(messages: DataFrame) -> DataFrame:
@@ -53,7 +64,7 @@ def message_facts(messages: DataFrame) -> DataFrame:
 
 def address_intel(facts: DataFrame, dims: Dimensions) -> DataFrame:
     usage = unnest(facts, "lookup_ips", item="ip")
-    return geo.ip_intel(usage, dims.city, dims.asn, dims.fallback, dims.ptr)
+    return geo.ip_intel(usage, dims.city, dims.asn, dims.fallback, dims.ptr, dims.disjoint)
 
 
 def located(facts: DataFrame, intel: DataFrame, key: str = "email_id") -> DataFrame:

@@ -588,6 +588,32 @@ def g4(spark, sf):
     return geo.range_lookup(known, {"n": w.asn(spark, sf)}).select("ip", "n.asn", "n.asn_name")
 
 
+def six_lookup(spark, sf, label):
+    """Addresses of one provider's block against nested ranges of it."""
+    known = geo.gate(geo.distinct_ips(w.six_addresses(spark, sf)))
+    dims = geo.without_overlaps({"d": w.six_ranges(spark, sf, label)})
+    return geo.range_lookup(known, dims).select("ip", f"d.{label}")
+
+
+@entry("g3_geo_range_join_v6", "SELECT ip, label AS country FROM six_found")
+def g3_v6(spark, sf):
+    return six_lookup(spark, sf, "country")
+
+
+@entry("g4_asn_range_join_v6", "SELECT ip, label AS asn FROM six_found")
+def g4_v6(spark, sf):
+    return six_lookup(spark, sf, "asn")
+
+
+@entry("g5_geo_fallback_v6",
+       "SELECT ip, coalesce(early, label) AS country, CASE WHEN early IS NOT NULL THEN 'range_table' "
+       "WHEN label IS NOT NULL THEN 'second_source' ELSE '' END AS sources FROM six_found")
+def g5_v6(spark, sf):
+    every = w.six_ranges(spark, sf, "country")
+    found = geo.ip_intel(w.six_addresses(spark, sf), every.where(F.col("country") < "m"), fallback=every)
+    return found.select("ip", "country", text("sources").alias("sources"))
+
+
 def _intel_entry(name: str, *columns: str) -> None:
     pairs, sql = named(columns)
 

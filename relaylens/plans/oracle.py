@@ -542,6 +542,12 @@ SELECT *, row_number() OVER (PARTITION BY k ORDER BY n) - 1 AS seq, {_registered
     "flags": _flags_sql(),
     "pattach": f"SELECT email_id, filename, payload FROM ({w.ATTACHMENTS_SQL}) a",
     "many_ranges": w.OVERLAP_SQL,
+    "six_asked": f"SELECT DISTINCT ip, six FROM ({w.SIX_ADDRESS_SQL}) a",
+    "six_ranges": w.SIX_RANGE_SQL,
+    "six_found": """
+SELECT ip, arg_min(label, {'w': hi64 - lo64, 'l': lo64, 'c': label}) AS label,
+ arg_min(label, {'w': hi64 - lo64, 'l': lo64, 'c': label}) FILTER (label < 'm') AS early
+FROM six_asked LEFT JOIN six_ranges ON six BETWEEN lo6 AND hi6 GROUP BY ip""",
     "scored": f"""
 SELECT m.k, m.email_id, m.ml_prob, least(coalesce(sum({_case_of(
         "split_part(flag, ':', 1)", fv.FLAG_WEIGHTS, str(fv.DEFAULT_FLAG_WEIGHT))}) FILTER (flag IS NOT NULL), 0), 100)

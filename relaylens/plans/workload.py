@@ -280,6 +280,24 @@ FROM (SELECT c_custkey, c_name, CASE c_custkey % 8 WHEN 0 THEN 1 WHEN 1 THEN 300
  WHEN 2 THEN 65536 WHEN 3 THEN 70000 WHEN 4 THEN 1000000 WHEN 5 THEN 20000000
  WHEN 6 THEN 100000000 ELSE 300000000 END AS width FROM customer) c"""
 
+# Addresses of one provider, all under 2a02:26f7::/32, one per order.
+SIX_ADDRESS_SQL = """
+SELECT '2a02:26f7:' || substr(net, 9, 4) || ':' || substr(net, 13, 4) || '::' || host AS ip,
+ net || lpad(host, 16, '0') AS six
+FROM (SELECT lower(hex(3027024741845172224 + (CAST(o_orderkey AS BIGINT) * 2654435761) % 4294967296)) AS net,
+ lower(hex(CAST(o_custkey AS BIGINT) % 65536)) AS host FROM orders) o"""
+
+# Ranges inside it in three sizes of networks, unaligned ones, and ones across its borders; one per part.
+SIX_RANGE_SQL = """
+SELECT label, lo64, hi64, lower(hex(lo64)) || repeat('0', 16) AS lo6,
+ lower(hex(hi64)) || repeat('f', 16) AS hi6
+FROM (SELECT label, lo64, lo64 + CASE p % 5 WHEN 0 THEN 16777215 WHEN 1 THEN 65535 WHEN 2 THEN 255
+ WHEN 3 THEN (p % 777) * 12345678 ELSE (p % 7) * 100000003 END AS hi64
+FROM (SELECT p, label, base + CASE p % 5 WHEN 0 THEN (p * 7919) % 256 * 16777216
+ WHEN 1 THEN (p * 104729) % 65536 * 65536 WHEN 2 THEN (p * 15485863) % 16777216 * 256
+ WHEN 3 THEN -1 - (p % 1000) * 429496 ELSE (p * 48271) % 4294967296 END AS lo64
+FROM (SELECT CAST(p_partkey AS BIGINT) AS p, p_name AS label, 3027024741845172224 AS base FROM part) a) b) c"""
+
 URLS_SQL = """
 SELECT CAST(page_id AS STRING) AS email_id, url AS page_url,
  replace(html, 'href="/', 'href="' || CASE page_id % 5 WHEN 0 THEN 'https://www.example.com/'
@@ -377,6 +395,17 @@ def overlaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _query(spark, sf_dir, OVERLAP_SQL, "customer")
 
 
+def six_addresses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _query(spark, sf_dir, SIX_ADDRESS_SQL, "orders").select("ip")
+
+
+def six_ranges(spark: SparkSession, sf_dir: str, label: str) -> DataFrame:
+    """Nested and overlapping IPv6 ranges whose only field is ``label``."""
+    nothing = F.lit(None).cast("bigint")
+    return _query(spark, sf_dir, SIX_RANGE_SQL, "part").select(
+        nothing.alias("lo"), nothing.alias("hi"), "lo6", "hi6", F.col("label").alias(label))
+
+
 def page_mail(spark: SparkSession, sf_dir: str) -> DataFrame:
     flat = _query(spark, sf_dir, URLS_SQL, "pages")
     return flat.withColumn("anchors", html_anchors(F.col("body_html")))

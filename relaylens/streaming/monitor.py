@@ -102,6 +102,8 @@ def monitor(
         raw_stream = raw_stream.withWatermark("modificationTime", dedup_horizon) \
             .dropDuplicatesWithinWatermark(["email_id"])
 
+    dims = dims.checked()
+
     def each(batch: DataFrame, batch_id: int) -> None:
         process_batch(batch, batch_id, dims, out, scorer)
 
