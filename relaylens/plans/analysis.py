@@ -7,14 +7,13 @@ per-message step that reads text runs before the first shuffle and the texts are
 
 from __future__ import annotations
 
-import uuid
 from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame
 
 from relaylens.functions.text import unnest
 from relaylens.operators import auth, detection, geo, hops, links, location, origin, report, risk
-from relaylens.session import shared_dir
+from relaylens.session import stage
 from relaylens.sources.messages import dedup_messages
 
 TEXT_COLUMNS = [
@@ -45,7 +44,7 @@ class Dimensions:
         given = {n: d for n in ("city", "asn", "fallback") if (d := getattr(self, n)) is not None}
         cut = geo.without_overlaps(given)
         return replace(self, disjoint=True, **{
-            n: d if d is given[n] else staged(d, n) for n, d in cut.items()})
+            n: d if d is given[n] else stage(d, n) for n, d in cut.items()})
 
 
 def trace_facts(messages: DataFrame) -> DataFrame:
@@ -88,25 +87,15 @@ def analyze(messages: DataFrame, dims: Dimensions) -> DataFrame:
     """Messages (with ``ml_prob``) to full results, with the two tables that are read more than
     once written in between: facts (parsed once) and address records (looked up once).
 
-    Identical messages are one result; they are folded on the narrow facts.
+    Identical messages are one result; they are folded on the narrow facts.  The facts feed both the
+    address list and the final join; a lost executor costs a re-read instead of a re-parse.
     """
-    facts = staged(dedup_messages(message_facts(messages)), "facts")
-    return assessed(facts, staged(address_intel(facts, dims), "intel"))
+    facts = stage(dedup_messages(message_facts(messages)), "facts")
+    return assessed(facts, stage(address_intel(facts, dims), "intel"))
 
 
 def trace_only(messages: DataFrame, dims: Dimensions) -> DataFrame:
     """The trace side alone, for batch tracing without detection: one result per ``path``, so
     identical files are traced each."""
-    facts = staged(trace_facts(messages).drop(*TEXT_COLUMNS), "facts")
-    return traced(facts, staged(address_intel(facts, dims), "intel"), "path")
-
-
-def staged(df: DataFrame, name: str) -> DataFrame:
-    """Write an intermediate table to the shared folder and read it back.
-
-    The facts feed both the address list and the final join; writing them parses every message
-    once, and a lost executor costs a re-read instead of a re-parse.
-    """
-    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.parquet(path)
+    facts = stage(trace_facts(messages).drop(*TEXT_COLUMNS), "facts")
+    return traced(facts, stage(address_intel(facts, dims), "intel"), "path")

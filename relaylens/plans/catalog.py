@@ -19,7 +19,7 @@ from relaylens.operators import (
 )
 from relaylens.plans import analysis, oracle
 from relaylens.plans import workload as w
-from relaylens.session import configure, last_changed, shared_dir
+from relaylens.session import configure, last_changed, remove_staged, shared_dir, stage
 from relaylens.sources import messages as sources
 from relaylens.sources import reports as sinks
 from relaylens.sources.mime import parse_messages
@@ -29,7 +29,7 @@ ID = "email_id"
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLE: dict[str, str] = {}
-_STAGED: dict[tuple, str] = {}
+_STAGED: dict[tuple, DataFrame] = {}
 
 
 def entry(name: str, sql: str | None = None, after_parsing: bool = False):
@@ -49,15 +49,16 @@ def once(spark: SparkSession, sf_dir: str, name: str, build: Query) -> DataFrame
     """A table of this session and data set, written on first use and again if the data change."""
     key = (spark.sparkContext.applicationId, sf_dir, last_changed(spark, sf_dir), name)
     if key not in _STAGED:
-        path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-        build(spark, sf_dir).write.parquet(path)
-        _STAGED[key] = path
-    return spark.read.parquet(_STAGED[key])
+        _STAGED[key] = stage(build(spark, sf_dir), name)
+    return _STAGED[key]
 
 
 def forget() -> None:
-    """Let the next query write its shared tables anew."""
+    """Let the next query write its shared tables anew; the ones so far are removed."""
     _STAGED.clear()
+    spark = SparkSession.getActiveSession()
+    if spark is not None:
+        remove_staged(spark)
 
 
 def text(column: str | Column) -> Column:

@@ -47,6 +47,27 @@ def _private_v4(n: str) -> str:
     return f"(({inside(fv.PRIVATE_V4)}) AND NOT ({inside(fv.PRIVATE_V4_EXCEPT)}))"
 
 
+def _v6_hex(c: str) -> str:
+    """The 32 hex digits of an IPv6 text without a dotted tail."""
+    def groups(part):
+        return (f"array_to_string(list_transform(list_filter(string_split(split_part({c}, '::', {part}), ':'), "
+                "lambda g: g <> ''), lambda g: lpad(lower(g), 4, '0')), '')")
+
+    left, right = groups(1), groups(2)
+    return f"({left} || repeat('0', 32 - len({left}) - len({right})) || {right})"
+
+
+def _in_v6(h: str, networks: list[str]) -> str:
+    import ipaddress
+
+    return "(" + " OR ".join(f"{h} BETWEEN '{int(x[0]):032x}' AND '{int(x[-1]):032x}'"
+                             for x in map(ipaddress.ip_network, networks)) + ")"
+
+
+def _private_v6(h: str) -> str:
+    return f"({_in_v6(h, fv.PRIVATE_V6)} AND NOT {_in_v6(h, fv.PRIVATE_V6_EXCEPT)})"
+
+
 def _v4_number(c: str) -> str:
     return "(" + " + ".join(
         f"TRY_CAST(split_part({c}, '.', {i + 1}) AS BIGINT) * {256 ** (3 - i)}" for i in range(4)
@@ -318,9 +339,11 @@ FROM hop1""",
 SELECT *, CASE zone WHEN '-0000' THEN NULL WHEN 'GMT' THEN '+0000' ELSE zone END AS tz_offset,
  local_ts - to_minutes(CASE zone WHEN '+0530' THEN 330 WHEN '-0500' THEN -300 ELSE 0 END) AS ts,
  CASE WHEN from_ip IS NULL THEN FALSE WHEN {_is4('from_ip')} THEN
-  {_private_v4(_v4_number('from_ip'))} ELSE NOT starts_with(from_ip, '2607:') END AS is_private_ip,
+  {_private_v4(_v4_number('from_ip'))} ELSE {_private_v6('hex_ip')} OR {_in_v6('hex_ip', fv.RESERVED_V6)}
+  END AS is_private_ip,
  coalesce(contains(protocol, 'TLS') OR protocol IN ('ESMTPS', 'ESMTPSA', 'SMTPS'), FALSE)
-  AS is_tls, {_relay('by_host')} OR {_relay('from_host')} AS is_relay FROM hop2""",
+  AS is_tls, {_relay('by_host')} OR {_relay('from_host')} AS is_relay
+FROM (SELECT *, {_v6_hex('from_ip')} AS hex_ip FROM hop2) h""",
     "hops": """
 SELECT *, from_ip IS NOT NULL AND NOT is_private_ip AS pub,
  CASE WHEN (zone = '-0000') = (lead(zone) OVER w = '-0000')
@@ -393,12 +416,10 @@ UNION SELECT k, s2_ip FROM s12 WHERE s2_ip IS NOT NULL""",
 SELECT ip, uses, CASE WHEN internal IS NULL THEN 'invalid IP address'
  WHEN internal THEN 'private/internal IP' END AS error,
  CASE WHEN NOT internal AND {_is4('ip')} THEN {_v4_number('ip')} END AS num,
- CASE WHEN NOT internal AND starts_with(ip, '2607:f8b0:4864::')
-  THEN '2607f8b04864' || lpad(ip[17:], 20, '0')
-  WHEN NOT internal AND ip = '2607:f8b0::5' THEN '2607f8b0' || lpad('5', 24, '0') END AS six
+ CASE WHEN NOT internal AND contains(ip, ':') THEN hex_ip END AS six
 FROM (SELECT ip, count(*) AS uses, CASE WHEN {_is4('ip')} THEN {_private_v4(_v4_number('ip'))}
- WHEN regexp_matches(ip, {s(IPV6_PATTERN)}) THEN NOT starts_with(ip, '2607:') END AS internal
- FROM usage GROUP BY ip) u""",
+ WHEN regexp_matches(ip, {s(IPV6_PATTERN)}) THEN {_private_v6('hex_ip')} END AS internal, hex_ip
+ FROM (SELECT *, {_v6_hex('ip')} AS hex_ip FROM usage) x GROUP BY ip, hex_ip) u""",
     "city": w.CITY_SQL, "net": w.ASN_SQL, "second": w.FALLBACK_SQL, "ptr": w.PTR_SQL,
     "intel1": f"""
 SELECT i.ip, i.uses, i.error, {', '.join(_intel_value(f) for f in (

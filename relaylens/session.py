@@ -4,11 +4,13 @@ from __future__ import annotations
 
 import re
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Runtime settings every plan relies on.  Broadcasts stay under Spark's own size check
-# (autoBroadcastJoinThreshold, re-checked by AQE on real sizes); no join here forces one.
+# (autoBroadcastJoinThreshold, re-checked by AQE on real sizes); the few joins that force one name
+# the bound of the side that they send.
 RUNTIME_CONF = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.adaptive.enabled": "true",
@@ -22,6 +24,10 @@ RUNTIME_CONF = {
 }
 
 
+_STAGED: list[str] = []
+_LOCAL: dict[str, str] = {}
+
+
 def configure(spark: SparkSession) -> SparkSession:
     """Apply the runtime settings to a session that somebody else created."""
     for key, value in RUNTIME_CONF.items():
@@ -51,7 +57,48 @@ def shared_dir(spark: SparkSession) -> str:
         return path.rstrip("/")
     if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    return tempfile.mkdtemp(prefix="relaylens-")
+    if spark.sparkContext.applicationId not in _LOCAL:
+        _LOCAL[spark.sparkContext.applicationId] = tempfile.mkdtemp(prefix="relaylens-")
+    return _LOCAL[spark.sparkContext.applicationId]
+
+
+def stage(df: DataFrame, name: str) -> DataFrame:
+    """``df`` as a table in the shared folder: it is computed once and survives lost executors."""
+    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    _STAGED.append(path)
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
+def staged_tables() -> int:
+    """How many tables this process has staged and not removed."""
+    return len(_STAGED)
+
+
+def remove_staged(spark: SparkSession, since: int = 0) -> None:
+    """Delete the staged tables but the first ``since`` ones; for when nothing reads them any more."""
+    while len(_STAGED) > since:
+        remove_folder(spark, _STAGED.pop())
+
+
+def move_folder(spark: SparkSession, path: str, target: str) -> None:
+    """Put a finished folder in place by one rename."""
+    jvm = spark.sparkContext._jvm
+    source, goal = (jvm.org.apache.hadoop.fs.Path(p) for p in (path, target))
+    fs = source.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    fs.mkdirs(goal.getParent())
+    if not fs.rename(source, goal):
+        raise OSError(f"cannot rename {path} to {target}")
+
+
+def list_folders(spark: SparkSession, path: str) -> list[str]:
+    """Names of the folders in a folder; none if it does not exist."""
+    jvm = spark.sparkContext._jvm
+    top = jvm.org.apache.hadoop.fs.Path(path)
+    fs = top.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not fs.exists(top):
+        return []
+    return sorted(f.getPath().getName() for f in fs.listStatus(top) if f.isDirectory())
 
 
 def remove_folder(spark: SparkSession, path: str) -> None:

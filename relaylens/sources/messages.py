@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
 from relaylens import schemas
+from relaylens.session import remove_staged, stage, staged_tables
 
 EML_GLOB = "*.[eE][mM][lL]"
 
@@ -49,22 +50,25 @@ def first_paths(raw: DataFrame) -> DataFrame:
 
 def dedup_raw(raw: DataFrame) -> DataFrame:
     """One row per content, the copy with the smallest path; a null path only if no copy has one.
+    Among copies of one path the smallest values of the other columns, in their order, stay.
 
-    Only ids and paths are aggregated.  Paths of other copies are the small side of an anti join on id and
-    path that Spark broadcasts where its size allows, so contents are scanned again but not sorted; a larger one
-    takes a sort-merge join.  Only copies that share the smallest path too (or all have none)
-    are folded as rows: the smallest values of the other columns, compared in their order, stay.
+    The raw table is read and hashed once, into a staged table, where every row has a locator: its file
+    and position.  Winners are found on ids, locators and the narrow columns, combined on the map side.
+    The rows to drop are the small side of an anti join on the locator, which Spark broadcasts where its
+    size allows, so contents are read a second time only if the caller wants them, and not sorted.
     """
-    copies = raw.groupBy("email_id", "path").agg(F.count(F.lit(1)).alias("_n"))
-    first = first_paths(copies).select(F.col("email_id").alias("_id"), F.col("path").alias("_first"))
-    copies = copies.join(first, F.col("email_id").eqNullSafe(F.col("_id"))).select(
-        "_id", F.col("path").alias("_path"), F.col("path").eqNullSafe(F.col("_first")).alias("_is_first"), "_n")
-    same = raw["email_id"].eqNullSafe(F.col("_id")) & raw["path"].eqNullSafe(F.col("_path"))
-    single = raw.join(copies.where(~F.col("_is_first") | (F.col("_n") > 1)), same, "left_anti")
-    tied = raw.join(copies.where(F.col("_is_first") & (F.col("_n") > 1)), same, "left_semi")
-    others = [c for c in raw.columns if c != "email_id"]
-    folded = tied.groupBy("email_id").agg(F.min(F.struct(*others)).alias("_r")).select("email_id", "_r.*")
-    return single.select("email_id", *others).unionByName(folded)
+    table = stage(raw, "raw").select(
+        *raw.columns, F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_row"))
+    others = [c for c in raw.columns if c not in ("email_id", "path", "content")]
+    rank = F.struct(F.col("path").isNull().alias("none"), "path", *others, "_file", "_row")
+    rows = table.select("email_id", rank.alias("rank"))
+    first = rows.groupBy("email_id").agg(F.min("rank").alias("first"), F.count("*").alias("n")).where(
+        F.col("n") > 1).select(F.col("email_id").alias("_id"), "first")
+    dropped = rows.join(first, F.col("email_id").eqNullSafe(F.col("_id"))).where(
+        (F.col("rank._file") != F.col("first._file")) | (F.col("rank._row") != F.col("first._row"))).select(
+        F.col("rank._file").alias("_in"), F.col("rank._row").alias("_at"))
+    return table.join(dropped, (F.col("_file") == F.col("_in")) & (F.col("_row") == F.col("_at")),
+                      "left_anti").select(*raw.columns)
 
 
 def dedup_messages(messages: DataFrame) -> DataFrame:
@@ -92,11 +96,13 @@ def store_raw(raw: DataFrame, store: str) -> None:
 
     Equal ids mean equal bytes, so leaving a stored copy alone equals rewriting it.
     """
+    before = staged_tables()
     fresh = dedup_raw(raw)
     stored = read_table_or_none(raw.sparkSession, store)
     if stored is not None:
         fresh = fresh.join(stored.select("email_id"), "email_id", "left_anti")
     fresh.write.mode("append").parquet(store)
+    remove_staged(raw.sparkSession, before)
 
 
 def high_water_mark(items: DataFrame, order: str = "uid") -> DataFrame:

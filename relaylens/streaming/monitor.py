@@ -12,11 +12,16 @@ from pyspark.sql.streaming import StreamingQuery
 
 from relaylens.operators.report import final_report
 from relaylens.plans.analysis import Dimensions, address_intel, assessed, message_facts
-from relaylens.session import remove_folder, shared_dir
+from relaylens.session import (
+    list_folders, move_folder, remove_folder, remove_staged, stage, staged_tables,
+)
 from relaylens.sources.messages import dedup_messages, quarantine, read_table_or_none
 from relaylens.sources.mime import parse_messages
 from relaylens.sources.reports import source_stem
 
+#: Batches between two compactions of the ledger; generations of its base before they are merged.
+COMPACT_EVERY, GENERATIONS = 50, 16
+
 
 def process_batch(
     raw: DataFrame, batch_id: int, dims: Dimensions, out: str,
@@ -28,23 +33,26 @@ def process_batch(
     leaves out the current batch, so a batch that failed half way is done again in full, and a
     message that an earlier batch finished is not.
     """
-    spark = raw.sparkSession
-    raw = raw.select("email_id", "path", "content")
-    done = finished(spark, out)
-    if done is not None:
+    spark, before = raw.sparkSession, staged_tables()
+    try:
+        _process(spark, raw.select("email_id", "path", "content"), batch_id, dims, out, scorer)
+    finally:
+        remove_staged(spark, before)
+
+
+def _process(spark: SparkSession, raw: DataFrame, batch_id: int, dims: Dimensions, out: str,
+             scorer: Callable[[DataFrame], DataFrame]) -> None:
+    if any(list_folders(spark, f"{out}/{n}") for n in ("ledger_base", "ledger")):
+        ids = stage(raw.select("email_id").distinct(), "ids")
+        shards = [r["shard"] for r in ids.select(_shard().alias("shard")).distinct().collect()]
+        done = finished(spark, out, shards)  # at most 256 shards
         # The ledger is met from the batch's ids, its small side; only hits come back, so
         # neither the ledger nor the contents have to be shuffled.
-        mine = done.where(F.col("batch") != batch_id).join(
-            raw.select("email_id").distinct(), "email_id", "left_semi").select("email_id").distinct()
+        mine = done.where(F.col("batch") != batch_id).join(ids, "email_id", "left_semi") \
+            .select("email_id").distinct()
         raw = raw.join(mine, "email_id", "left_anti")
     # One staged table serves good and bad rows, so every message is parsed once; copies within
     # the batch are folded on the narrow facts.
-    work = f"{shared_dir(spark)}/batch-{batch_id}-{uuid.uuid4().hex}"
-
-    def stage(df: DataFrame, name: str) -> DataFrame:
-        df.write.parquet(f"{work}/{name}")
-        return spark.read.parquet(f"{work}/{name}")
-
     facts = stage(dedup_messages(message_facts(scorer(parse_messages(raw)))), "facts")
     good, bad = quarantine(facts)
     results = assessed(good, stage(address_intel(good, dims), "intel"))
@@ -56,34 +64,55 @@ def process_batch(
     written = spark.read.parquet(f"{out}/reports/batch={batch_id}")
     written.select(F.col("id").alias("email_id"), "processed_at").write.mode("overwrite") \
         .parquet(f"{out}/ledger/batch={batch_id}")
-    remove_folder(spark, work)
 
 
-def finished(spark: SparkSession, out: str) -> DataFrame | None:
-    """Ledger rows (email_id, processed_at, batch): compacted ones and those of single batches."""
-    parts = [t for t in (read_table_or_none(spark, f"{out}/{n}") for n in ("ledger_base", "ledger"))
-             if t is not None]
+def _shard():
+    """Where the base of the ledger keeps an id: its first two hex digits."""
+    return F.substring("email_id", 1, 2)
+
+
+def finished(spark: SparkSession, out: str, shards: list[str] | None = None) -> DataFrame | None:
+    """Ledger rows (email_id, processed_at, batch): compacted ones and those of single batches.
+
+    With ``shards`` only those folders of the compacted ledger are read; the single batches are at most
+    the ones since the last compaction.
+    """
+    base = read_table_or_none(spark, f"{out}/ledger_base")
+    if base is not None and shards is not None:
+        base = base.where(F.col("shard").isin(shards))
+    parts = [t for t in (base, read_table_or_none(spark, f"{out}/ledger")) if t is not None]
     columns = ("email_id", "processed_at", "batch")
     return reduce(DataFrame.unionByName, [t.select(*columns) for t in parts]) if parts else None
 
 
+def _numbers(spark: SparkSession, folder: str) -> list[int]:
+    """The values of the partition folders ``name=value``."""
+    return sorted(int(n.rpartition("=")[2]) for n in list_folders(spark, folder) if "=" in n)
+
+
 def compact_ledger(spark: SparkSession, out: str, upto: int) -> None:
-    """Merge the ledger folders of the batches up to ``upto`` into one table.
+    """Move the ledger folders of the batches up to ``upto`` into the base, by shards of the id.
 
-    The new generation is complete before the folders it replaces go, and a row that is there twice
-    does no harm, so this can be repeated after a failure.  It must not run beside a batch.
+    A generation of the base holds the batches since the one before, so a compaction costs what it moves;
+    after ``GENERATIONS`` they become one.  A generation is put in place by one rename, complete, before
+    the folders it replaces go, and a row that is there twice does no harm, so this can be
+    repeated after a failure.  It must not run beside a batch.
     """
-    old = finished(spark, out)
-    if old is None:
-        return
-    batches = [r["batch"] for r in old.select("batch").where(F.col("batch") <= upto).distinct().collect()]
-    stale = read_table_or_none(spark, f"{out}/ledger_base")
-    before = [] if stale is None else [r["upto"] for r in stale.select("upto").distinct().collect()]
-    if not batches or upto in before:
-        return
-    old.where(F.col("batch") <= upto).dropDuplicates(["email_id", "batch"]).write.parquet(
-        f"{out}/ledger_base/upto={upto}")
-    for folder in [*(f"ledger/batch={b}" for b in batches), *(f"ledger_base/upto={g}" for g in before)]:
+    generations = _numbers(spark, f"{out}/ledger_base")
+    batches = [b for b in _numbers(spark, f"{out}/ledger") if b <= upto]
+    fresh = [b for b in batches if not generations or b > generations[-1]]
+    stale = generations if len(generations) >= GENERATIONS else []
+    if fresh:
+        rows = spark.read.parquet(f"{out}/ledger").where(F.col("batch").isin(fresh))
+        if stale:
+            rows = rows.unionByName(spark.read.parquet(f"{out}/ledger_base").select(*rows.columns))
+        made = f"{out}/ledger_new/{uuid.uuid4().hex}"
+        rows.dropDuplicates(["email_id", "batch"]).withColumn("shard", _shard()).repartition("shard") \
+            .write.partitionBy("shard").parquet(made)
+        move_folder(spark, made, f"{out}/ledger_base/upto={max(fresh)}")
+    folders = [f"ledger/batch={b}" for b in batches] + (
+        [f"ledger_base/upto={g}" for g in stale] if fresh else [])
+    for folder in folders:
         remove_folder(spark, f"{out}/{folder}")
 
 
@@ -106,6 +135,8 @@ def monitor(
 
     def each(batch: DataFrame, batch_id: int) -> None:
         process_batch(batch, batch_id, dims, out, scorer)
+        if batch_id % COMPACT_EVERY == COMPACT_EVERY - 1:
+            compact_ledger(batch.sparkSession, out, batch_id)
 
     writer = raw_stream.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint)
     writer = writer.trigger(availableNow=True) if once else writer.trigger(processingTime=interval)

@@ -29,3 +29,12 @@ def test_equal_and_null_paths_leave_one_row(spark, tmp_path):
     sources.store_raw(raw.where("content is not null"), store)
     sources.store_raw(raw.where("content is not null"), store)
     assert found(spark.read.parquet(store)) == sorted(kept[:4], key=repr)
+
+
+def test_contents_are_scanned_and_hashed_once_for_the_ids(spark, tmp_path):
+    raw = raw_table(spark, [("X", "a", 1), ("X", "b", 2), ("Y", "c", 3)])
+    raw.drop("email_id").write.parquet(str(tmp_path / "t"))
+    one = sources.dedup_raw(sources.with_content_id(spark.read.parquet(str(tmp_path / "t"))))
+    assert sorted(one.select("path").collect()) == [("a",), ("c",)]
+    plan = one.select("email_id", "path")._jdf.queryExecution().executedPlan().toString()
+    assert "FileScan" in plan and "sha2(" not in plan and "content" not in plan
