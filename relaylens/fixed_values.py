@@ -219,3 +219,7 @@ EVIDENCE_TIMEZONE = "Sender client system clock configured with timezone offset
 EVIDENCE_CONTENT = "Found %s in message: %s."
 EVIDENCE_SCRIPT = "Message contains %d characters in %s script."
 EVIDENCE_INFRA = "Fallback to relay IP %s (%s)."
+
+# --- Fixed value: name of the tracing module in exported results ---
+
+TRACE_MODULE = "trace_engine"

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from relaylens import fixed_values as fv
 from relaylens.functions.hosts import only_address
 from relaylens.functions.rounding import round_exact
 from relaylens.functions.text import first_of, null_if_empty
@@ -48,26 +49,31 @@ def with_resolved_place(facts: DataFrame) -> DataFrame:
     })
 
 
-def final_report(facts: DataFrame, key: str = "email_id", *carry: str) -> DataFrame:
-    """The 13-field report."""
-    return facts.select(
-        *carry, F.col(key).cast("string").alias("id"),
+def _final_fields(key: str) -> list[Column]:
+    """The 13 fields of the final report."""
+    return [
+        F.col(key).cast("string").alias("id"),
         F.col("meta_subject").alias("subject"),
         F.col("report_email").alias("email"), F.col("report_sender").alias("sender"),
         F.col("report_phone").alias("phone"), F.col("origin_ip").alias("ip"),
         F.col("report_name").alias("name"), F.col("report_country").alias("country"),
         F.col("report_city").alias("city"), F.col("combined_score").alias("risk_score"),
-        "classification", F.col("status_label").alias("status"),
+        F.col("classification"), F.col("status_label").alias("status"),
         F.struct(
             F.col("combined_score").alias("combined_threat_score"), "overall_verdict",
         ).alias("overall_assessment"),
-    )
+    ]
+
+
+def final_report(facts: DataFrame, key: str = "email_id", *carry: str) -> DataFrame:
+    """The 13-field report."""
+    return facts.select(*carry, *_final_fields(key))
 
 
 def trace_report(facts: DataFrame, key: str = "email_id", *carry: str) -> DataFrame:
     """Everything the trace side knows about a message, nested."""
     return facts.select(
-        *carry, F.col(key),
+        *carry, F.col(key), F.lit(fv.TRACE_MODULE).alias("module"), F.lit(VERSION).alias("version"),
         F.struct(*[
             F.col(f"meta_{f}").alias(f) for f in ("message_id", "subject", "from", "to", "date")
         ]).alias("message_meta"),
@@ -103,7 +109,7 @@ def trace_report(facts: DataFrame, key: str = "email_id", *carry: str) -> DataFr
 
 
 def unified_report(facts: DataFrame, key: str = "email_id") -> DataFrame:
-    """Trace, detection and assessment of a message in one nested row."""
+    """Trace, detection, assessment and final report of a message in one nested row."""
     detection = F.struct(
         "fraud_score", F.col("fraud_category").alias("category"),
         F.col("detection_confidence").alias("confidence"), "confidence_label", "flags",
@@ -112,12 +118,13 @@ def unified_report(facts: DataFrame, key: str = "email_id") -> DataFrame:
     overall = F.struct(
         F.col("combined_score").alias("combined_threat_score"), "overall_verdict")
     traced = trace_report(
-        facts.withColumns({"_detection": detection, "_overall": overall}),
-        key, "path", "_detection", "_overall")
+        facts.withColumns({
+            "_detection": detection, "_overall": overall, "_final": F.struct(*_final_fields(key))}),
+        key, "path", "_detection", "_overall", "_final")
     return traced.select(
         F.lit(VERSION).alias("pipeline_version"), key, F.col("path").alias("raw_file_path"),
         "message_meta", F.col("_detection").alias("phishing_detection"),
         F.struct("delivery_path", "origin", "authentication", "sender_location_estimate", "risk")
         .alias("origin_trace"),
-        F.col("_overall").alias("overall_assessment"),
+        F.col("_overall").alias("overall_assessment"), F.col("_final").alias("final_output"),
     )

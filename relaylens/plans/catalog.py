@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from relaylens.functions.text import dense, unnest
 from relaylens.operators import (
-    auth, detection, geo, hops, links, location, model, origin, report,
+    auth, detection, geo, hops, links, location, model, origin, report, suffixes,
 )
 from relaylens.plans import analysis, oracle
 from relaylens.plans import workload as w
@@ -207,7 +207,8 @@ def s11(spark, sf):
 
 @entry("s12_export_batch",
        "SELECT split_part(path, '/', -1) AS file, trace_risk_score AS score, origin_ip AS ip, "
-       "hop_count AS hops_count FROM mail JOIN trace_risk USING (k) JOIN origin USING (k)")
+       "hop_count AS hops_count, 'trace_engine' AS module, '1.0.0' AS version, origin_basis AS basis, "
+       "auth_summary AS summary FROM mail JOIN trace_risk USING (k) JOIN origin USING (k)")
 def s12(spark, sf):
     traced = report.trace_report(results(spark, sf), ID, "path")
     target = f"{shared_dir(spark)}/export-{uuid.uuid4().hex}"
@@ -220,7 +221,10 @@ def s12(spark, sf):
         at("$.file").alias("file"),
         at("$.report.risk.trace_risk_score").cast("int").alias("score"),
         at("$.report.origin.probable_source_ip").alias("ip"),
-        at("$.report.delivery_path.hops_count").cast("long").alias("hops_count"))
+        at("$.report.delivery_path.hops_count").cast("long").alias("hops_count"),
+        at("$.report.module").alias("module"), at("$.report.version").alias("version"),
+        at("$.report.origin.origin_basis").alias("basis"),
+        at("$.report.authentication.summary").alias("summary"))
 
 
 @entry("s13_summarize_messages",
@@ -351,6 +355,14 @@ def p10(spark, sf):
     return links.url_table(linked(spark, sf)).select(ID, "url", "host", "domain")
 
 
+@entry("p10_registered_domain_by_table",
+       "SELECT host, CASE WHEN regexp_full_match(host, '[0-9.]+') THEN host ELSE array_to_string("
+       "list_slice(string_split(host, '.'), greatest(1, len(string_split(host, '.')) - coalesce(best, 1) % 1000), "
+       "len(string_split(host, '.'))), '.') END AS domain FROM named_hosts LEFT JOIN suffix_of USING (host)")
+def p10_table(spark, sf):
+    return suffixes.registered_domains(w.hosts(spark, sf), w.suffixes(spark, sf))
+
+
 @entry("p11_message_meta", "SELECT email_id, nullif(trim(message_id), '') AS message_id, "
                            "nullif(subject, '') AS subject, from_raw AS from_text, "
                            "to_raw AS to_text, date_raw AS date_text FROM mail")
@@ -829,6 +841,18 @@ def d14(spark, sf):
     return model.with_probability(mail, fitted).select(ID, "ml_prob")
 
 
+@entry("d14_model_table",
+       "SELECT email_id, round(1 / (1 + exp(-sum(idf * weight))), 6) AS ml_prob FROM (SELECT email_id, "
+       "unnest(list_append(slots, -1)) AS slot FROM mail_slots) m JOIN model_table USING (slot) GROUP BY email_id")
+def d14_table(spark, sf):
+    """The model is a table trained on the labelled documents, the score a sparse dot product."""
+    labels = w.table(spark, sf, "labels").select(
+        F.col("doc_id").cast("string").alias(ID), F.col("toxic").alias("label"))
+    mail = w.mail(spark, sf).select(ID, "subject", "body_plain")
+    table = stage(model.train_table(mail, labels), "model")
+    return model.table_probability(mail, table).select(ID, F.round("ml_prob", 6).alias("ml_prob"))
+
+
 def _fraud_entry(name: str, *columns: str) -> None:
     pairs, sql = named(columns)
 
@@ -897,27 +921,78 @@ def f9(spark, sf):
     return flat_report(report.final_report(done))
 
 
+# Leaves of the unified report: path in the report and its SQL.
+_NOTE = ("CASE WHEN g.hop_count = 0 THEN 'No Received headers found.' ELSE " + oracle.fmt(
+    hops.fv.ATTRIBUTION, "replace(g.origin_basis, '_', ' ')", "coalesce(g.origin_ip, 'unknown')",
+    "coalesce(g.edge_ip, 'none')", "coalesce(g.claimed_ip, 'none')") + " END")
+_LEAVES = {
+    "pipeline_version": "'1.0.0'", "raw_file_path": "m.path",
+    "message_meta.message_id": "nullif(trim(m.message_id), '')",
+    "message_meta.subject": "nullif(m.subject, '')", "message_meta.from": "m.from_raw",
+    "message_meta.to": "m.to_raw", "message_meta.date": "m.date_raw",
+    "phishing_detection.fraud_score": "v.fraud_score", "phishing_detection.category": "v.fraud_category",
+    "phishing_detection.confidence": "v.c", "phishing_detection.confidence_label": "v.confidence_label",
+    "phishing_detection.flags": "v.flags",
+    "phishing_detection.ml_confidence": "round(((v.k * 37) % 1001) / 1000.0, 3)",
+    "origin_trace.delivery_path.hops_count": "CAST(g.hop_count AS INTEGER)",
+    "origin_trace.delivery_path.notes": "n.notes",
+    "origin_trace.origin.probable_source_ip": "g.origin_ip",
+    "origin_trace.origin.origin_basis": "g.origin_basis",
+    "origin_trace.origin.origin_hop_index": "g.walk_index",
+    "origin_trace.origin.confidence": "g.origin_confidence",
+    "origin_trace.origin.via_provider": "g.via", "origin_trace.origin.attribution_note": _NOTE,
+    "origin_trace.origin.geo.country": "CASE WHEN g.origin_ip IS NOT NULL THEN g.country END",
+    "origin_trace.origin.geo.city": "CASE WHEN g.origin_ip IS NOT NULL THEN g.city END",
+    "origin_trace.origin.edge_ip": "g.edge_ip", "origin_trace.origin.edge_geo.country": "x.country",
+    "origin_trace.origin.edge_geo.infrastructure_type": "x.infra",
+    "origin_trace.origin.claimed_origin_ip": "g.claimed_ip",
+    "origin_trace.origin.claimed_is_verified": "g.origin_verified",
+    "origin_trace.origin.spf_edge_ip": "a.spf_client_ip",
+    "origin_trace.origin.spf_edge_geo.country": "x.country",
+    "origin_trace.authentication.spf.result": "a.spf_result",
+    "origin_trace.authentication.spf.domain": "a.spf_domain",
+    "origin_trace.authentication.spf.client_ip": "a.spf_client_ip",
+    "origin_trace.authentication.dkim.result": "a.dkim_result",
+    "origin_trace.authentication.dkim.domain": "a.dkim_domain",
+    "origin_trace.authentication.dmarc.result": "a.dmarc_result",
+    "origin_trace.authentication.dmarc.policy": "a.dmarc_policy",
+    "origin_trace.authentication.summary": "a.auth_summary",
+    **{f"origin_trace.authentication.{d}": f"d.{d}" for d in _DOMAINS},
+    **{f"origin_trace.sender_location_estimate.primary_estimate.{f}": q for f, q in {
+        "country": "e.country", "country_code": "e.cc", "city": "e.city", "region": "e.region",
+        "device_ip": "e.device_ip", "confidence": "e.confidence", "basis": "e.basis",
+        "evidence_count": "CAST(e.evidence_count AS INTEGER)"}.items()},
+    "origin_trace.risk.trace_risk_score": "CAST(t.trace_risk_score AS INTEGER)",
+    "origin_trace.risk.trace_risk_level": "CASE WHEN t.trace_risk_score >= 60 THEN 'high' "
+                                          "WHEN t.trace_risk_score >= 30 THEN 'medium' ELSE 'low' END",
+    "origin_trace.risk.reasons": "t.risk_reasons",
+    "overall_assessment.combined_threat_score": "v.combined",
+    "overall_assessment.overall_verdict": "v.overall_verdict",
+    **{f"final_output.{f}": f"r.{f}" for f in (
+        "id", "subject", "email", "sender", "phone", "ip", "name", "country", "city", "risk_score",
+        "classification", "status")},
+    "final_output.overall_assessment.combined_threat_score": "r.risk_score",
+    "final_output.overall_assessment.overall_verdict": "r.overall_verdict",
+}
+_LISTS = ("phishing_detection.flags", "origin_trace.delivery_path.notes", "origin_trace.risk.reasons",
+          "origin_trace.sender_location_estimate.primary_estimate.basis")
+
+
+def _leaf(path: str) -> str:
+    return path.replace(".", "_")
+
+
 @entry("f10_unified_report",
-       "SELECT v.email_id, fraud_score, fraud_category AS category, v.flags, "
-       "CAST(hop_count AS INTEGER) AS hops_count, origin_ip AS ip, origin_basis AS basis, "
-       "auth_summary AS summary, ecountry AS estimated_country, trace_risk_score AS trace_score, "
-       "round(((v.k * 37) % 1001) / 1000.0, 3) AS ml_confidence, combined, overall_verdict FROM (SELECT * RENAME (trace_risk_score AS t1) FROM verdict) v "
-       "JOIN geo g ON g.k = v.k JOIN trace_risk t ON t.k = v.k")
+       "SELECT m.email_id, " + ", ".join(f"{q} AS {_leaf(p)}" for p, q in _LEAVES.items())
+       + " FROM mail m JOIN (SELECT * RENAME (trace_risk_score AS t1) FROM verdict) v ON v.k = m.k "
+       "JOIN geo g ON g.k = m.k JOIN trace_risk t ON t.k = m.k JOIN trace_auth a ON a.k = m.k "
+       "JOIN domains d ON d.k = m.k LEFT JOIN estimate e ON e.k = m.k JOIN report r ON r.k = m.k "
+       f"JOIN (SELECT k, {oracle.joined('note', 'ord')} AS notes FROM mail LEFT JOIN notes USING (k) GROUP BY k) n "
+       "ON n.k = m.k LEFT JOIN intel x ON x.ip = g.edge_ip AND g.edge_ip IS DISTINCT FROM g.origin_ip")
 def f10(spark, sf):
     u = report.unified_report(results(spark, sf))
-    trace, found = "origin_trace", "phishing_detection"
-    return u.select(
-        ID, f"{found}.fraud_score", f"{found}.category", text(f"{found}.flags").alias("flags"),
-        F.col(f"{trace}.delivery_path.hops_count").alias("hops_count"),
-        F.col(f"{trace}.origin.probable_source_ip").alias("ip"),
-        F.col(f"{trace}.origin.origin_basis").alias("basis"),
-        F.col(f"{trace}.authentication.summary").alias("summary"),
-        F.col(f"{trace}.sender_location_estimate.primary_estimate.country")
-        .alias("estimated_country"),
-        F.col(f"{trace}.risk.trace_risk_score").alias("trace_score"),
-        F.col(f"{found}.ml_confidence"),
-        F.col("overall_assessment.combined_threat_score").alias("combined"),
-        F.col("overall_assessment.overall_verdict"))
+    return u.select(ID, *[
+        (text(F.col(p)) if p in _LISTS else F.col(p)).alias(_leaf(p)) for p in _LEAVES])
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

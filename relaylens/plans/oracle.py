@@ -563,6 +563,28 @@ SELECT *, row_number() OVER (PARTITION BY k ORDER BY n) - 1 AS seq, {_registered
     "flags": _flags_sql(),
     "pattach": f"SELECT email_id, filename, payload FROM ({w.ATTACHMENTS_SQL}) a",
     "many_ranges": w.OVERLAP_SQL,
+    "mail_slots": """
+SELECT email_id, list_distinct(list_transform(regexp_extract_all(lower(coalesce(subject, '') || ' ' ||
+ coalesce(body_plain, '')), '[a-z0-9_]+'), lambda t: CAST('0x' || md5(t)[1:4] AS INTEGER))) AS slots
+FROM mail""",
+    "slot_counts": """
+SELECT toxic AS label, slots FROM mail_slots JOIN labels ON email_id = CAST(doc_id AS VARCHAR)
+WHERE toxic IS NOT NULL""",
+    "class_sizes": """
+SELECT count(*) FILTER (label = 0) AS all0, count(*) FILTER (label = 1) AS all1 FROM slot_counts""",
+    "model_table": """
+SELECT slot, ln((all0 + all1 + 1.0) / (count(*) + 1.0)) AS idf,
+ ln(count(*) FILTER (label = 1) + 0.5) - ln(count(*) FILTER (label = 0) + 0.5)
+ - (ln(all1 + 1.0) - ln(all0 + 1.0)) AS weight
+FROM (SELECT label, unnest(slots) AS slot FROM slot_counts) x, class_sizes GROUP BY slot, all0, all1
+UNION ALL SELECT -1, 1.0, ln(all1 + 0.5) - ln(all0 + 0.5) FROM class_sizes""",
+    "listed": f"SELECT DISTINCT lower(rule) AS rule FROM ({w.SUFFIX_SQL}) s",
+    "named_hosts": f"SELECT DISTINCT trim(lower(host), '.') AS host FROM ({w.HOST_SQL}) h",
+    "suffix_of": """
+SELECT host, max(CASE WHEN rule[1] = '!' THEN 1000 + len(string_split(rule, '.')) - 1
+ ELSE len(string_split(rule, '.')) END) AS best FROM named_hosts JOIN listed
+ON regexp_full_match(host, '(.*\\.)?' || replace(replace(ltrim(rule, '!'), '.', '\\.'), '*', '[^.]+'))
+GROUP BY host""",
     "six_asked": f"SELECT DISTINCT ip, six FROM ({w.SIX_ADDRESS_SQL}) a",
     "six_ranges": w.SIX_RANGE_SQL,
     "six_found": """

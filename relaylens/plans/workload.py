@@ -298,6 +298,21 @@ FROM (SELECT p, label, base + CASE p % 5 WHEN 0 THEN (p * 7919) % 256 * 16777216
  WHEN 3 THEN -1 - (p % 1000) * 429496 ELSE (p * 48271) % 4294967296 END AS lo64
 FROM (SELECT CAST(p_partkey AS BIGINT) AS p, p_name AS label, 3027024741845172224 AS base FROM part) a) b) c"""
 
+# A suffix list with wildcards and exceptions, one rule per part, and hosts for it, one per customer.
+SUFFIX_SQL = """
+SELECT CASE p % 7 WHEN 0 THEN '*.w' || p WHEN 1 THEN '!city.w' || (p - 1) WHEN 2 THEN 'co.x' || p
+ WHEN 3 THEN 'x' || (p - 1) WHEN 4 THEN 'a.b.y' || p WHEN 5 THEN 'y' || (p - 1) ELSE 'Z' || p END AS rule
+FROM (SELECT CAST(p_partkey AS BIGINT) AS p FROM part) a"""
+
+HOST_SQL = """
+SELECT CASE k % 3 WHEN 0 THEN '' WHEN 1 THEN 'www.' ELSE 'K.l.' END || CASE c % 7
+ WHEN 0 THEN 'shop.w' || m WHEN 1 THEN 'city.w' || m WHEN 2 THEN 'co.x' || (m + 2) WHEN 3 THEN 'x' || (m + 2)
+ WHEN 4 THEN 'a.b.y' || (m + 4) WHEN 5 THEN 'b.y' || (m + 4) ELSE 'mail.q' || m END AS host
+FROM (SELECT c, c - c % 7 AS m, (c - c % 7) / 7 AS k7, CAST(floor(c / 7) AS BIGINT) AS k
+ FROM (SELECT CAST(c_custkey AS BIGINT) AS c FROM customer) a) b
+UNION ALL SELECT '10.1.2.' || CAST(n_nationkey AS STRING) FROM nation
+UNION ALL SELECT 'Com.W7.' FROM region"""
+
 URLS_SQL = """
 SELECT CAST(page_id AS STRING) AS email_id, url AS page_url,
  replace(html, 'href="/', 'href="' || CASE page_id % 5 WHEN 0 THEN 'https://www.example.com/'
@@ -406,6 +421,14 @@ def six_ranges(spark: SparkSession, sf_dir: str, label: str) -> DataFrame:
         nothing.alias("lo"), nothing.alias("hi"), "lo6", "hi6", F.col("label").alias(label))
 
 
+def suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _query(spark, sf_dir, SUFFIX_SQL, "part")
+
+
+def hosts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _query(spark, sf_dir, HOST_SQL, "customer", "nation", "region")
+
+
 def page_mail(spark: SparkSession, sf_dir: str) -> DataFrame:
     flat = _query(spark, sf_dir, URLS_SQL, "pages")
     return flat.withColumn("anchors", html_anchors(F.col("body_html")))

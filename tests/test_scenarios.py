@@ -25,7 +25,7 @@ def rows(spark, dims, tmp_path_factory):
     tree = mails.write(tmp_path_factory.mktemp("tree"))
     raw = sources.dedup_raw(sources.read_message_tree(spark, tree))
     parsed = parse_messages(raw).withColumn("ml_prob", F.lit(0.1))
-    done = analysis.staged(analysis.analyze(parsed, dims), "scenarios")
+    done = analysis.stage(analysis.analyze(parsed, dims), "scenarios")
     return {r["path"].rsplit("/", 1)[1]: r for r in done.collect()}, done
 
 
