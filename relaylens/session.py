@@ -75,10 +75,13 @@ def staged_tables() -> int:
     return len(_STAGED)
 
 
-def remove_staged(spark: SparkSession, since: int = 0) -> None:
-    """Delete the staged tables but the first ``since`` ones; for when nothing reads them any more."""
-    while len(_STAGED) > since:
-        remove_folder(spark, _STAGED.pop())
+def remove_staged(spark: SparkSession, since: int = 0, keep: int = 0) -> None:
+    """Delete the staged tables but the first ``since`` and the last ``keep`` ones; for when nothing
+    reads them any more."""
+    last = len(_STAGED) - keep
+    for path in _STAGED[since:last]:
+        remove_folder(spark, path)
+    del _STAGED[since:max(since, last)]
 
 
 def move_folder(spark: SparkSession, path: str, target: str) -> None:
