@@ -12,7 +12,7 @@
 * Components are closed by distributed rounds of large-star and small-star.
 
 Defined cases: vectors that are null, empty or zero, or hold null or non-finite numbers, link with
-nothing; vectors of different length do not link; equal vectors link with each other; repeated rows
+nothing; huge and tiny numbers are scaled before they are squared; vectors of different length do not link; equal vectors link with each other; repeated rows
 are vectors like others; an empty table gives no rows.
 """
 
@@ -25,6 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, FloatType
 
 from relaylens.llm.common import arrow_rows, written
 from relaylens.llm.components import components
@@ -43,23 +44,35 @@ def settings(n: int, cosine: float = COSINE, recall: float = RECALL) -> tuple[in
     return bits, math.ceil(math.log(1 - recall) / math.log(1 - agree))
 
 
-def _vector(values: list | None) -> bytes | None:
-    """Doubles of a usable vector, else null."""
+def _vector(values: list | None, kind: str) -> bytes | None:
+    """The numbers of a usable vector, else null."""
     if not values or None in values:
         return None
-    v = np.asarray(values, np.float64)
-    with np.errstate(over="ignore"):
-        norm = float(v @ v)
-    return v.tobytes() if np.isfinite(v).all() and 0 < norm < math.inf else None
+    v = np.asarray(values, kind)
+    return v.tobytes() if np.isfinite(v).all() and v.any() else None
 
 
-def _codes(vectors: list[bytes], bits: int, tables: int) -> np.ndarray:
+def scaled(x: np.ndarray) -> np.ndarray:
+    """Rows times a power of two, so that the largest number of each is about one.
+
+    That changes no bit of ordinary numbers, and the squares of huge and tiny ones stay in range.
+    """
+    return np.ldexp(x, -np.frexp(np.abs(x).max(axis=1))[1][:, None])
+
+
+def _matrix(vectors: list[bytes], kind: str) -> np.ndarray:
+    """Vectors of one length as scaled rows of doubles."""
+    x = np.frombuffer(b"".join(vectors), kind).astype(np.float64)
+    return scaled(x.reshape(len(vectors), -1))
+
+
+def _codes(vectors: list[bytes], bits: int, tables: int, kind: str) -> np.ndarray:
     """Bucket codes, one row per vector and one column per table."""
     out = np.empty((len(vectors), tables), np.int64)
-    sizes = np.array([len(v) // 8 for v in vectors])
+    sizes = np.array([len(v) // np.dtype(kind).itemsize for v in vectors])
     for size in np.unique(sizes).tolist():
         at = np.flatnonzero(sizes == size)
-        x = np.frombuffer(b"".join(vectors[i] for i in at), np.float64).reshape(len(at), size)
+        x = _matrix([vectors[i] for i in at], kind)
         planes = np.random.default_rng(SEED + size).standard_normal((size, bits * tables))
         signs = (x @ planes > 0).reshape(len(at), tables, bits)
         out[at] = signs @ (1 << np.arange(bits)) * 65536 + size % 65536
@@ -89,7 +102,7 @@ def _least(n: int, i: np.ndarray, j: np.ndarray, ids: np.ndarray) -> np.ndarray:
         label = new
 
 
-def _compare(bits: int, tables: int, cosine: float):
+def _compare(bits: int, tables: int, cosine: float, kind: str):
     schema = pa.schema([("rep", pa.int64()), ("linked", pa.int64()), ("least", pa.int64())])
 
     def found(rows: list[tuple]) -> list[tuple]:
@@ -98,11 +111,11 @@ def _compare(bits: int, tables: int, cosine: float):
         if len({len(v) for v in vectors}) > 1:
             sizes = sorted({len(v) for v in vectors})
             return [x for s in sizes for x in found([r for r in rows if len(r[7]) == s])]
-        x = np.frombuffer(b"".join(vectors), np.float64).reshape(len(rows), -1)
+        x = _matrix(vectors, kind)
         norm = np.sqrt((x * x).sum(axis=1))
         ids, copies = np.array([r[5] for r in rows]), np.array([r[6] for r in rows])
         block = np.array([r[4] for r in rows])
-        codes = _codes(vectors, bits, tables)
+        codes = _codes(vectors, bits, tables, kind)
         if one == other:
             everything = np.arange(len(rows))
             i, j = links(x, norm, codes, table, everything, everything, cosine)
@@ -145,16 +158,19 @@ def dedup(vectors: DataFrame, cosine: float = COSINE, vec_id: str = "vec_id",
           embedding: str = "embedding") -> DataFrame:
     """``vec_id``, ``n_links``, ``component_id``, ``kept`` for each row."""
     schema = "vec_id long, v binary"
+    # Vectors of floats travel as floats and are compared as doubles.
+    single = vectors.schema[embedding].dataType == ArrayType(FloatType(), True)
+    kind = "<f4" if single else "<f8"
     rows = written(vectors.select(
         F.col(f"`{vec_id}`").cast("long").alias("vec_id"), F.col(f"`{embedding}`").alias("e")).mapInArrow(
-        arrow_rows(lambda ids, es: [(i, _vector(e)) for i, e in zip(ids, es, strict=True)], schema),
+        arrow_rows(lambda ids, es: [(i, _vector(e, kind)) for i, e in zip(ids, es, strict=True)], schema),
         schema), "vectors")
     reps = written(rows.where(F.col("v").isNotNull() & F.col("vec_id").isNotNull()).groupBy("v").agg(
         F.min("vec_id").alias("rep"), F.count("*").alias("copies")), "distinct")
     bits, tables = settings(reps.count(), cosine)
 
     def hashed(vs, ids, copies):
-        codes = _codes(vs, bits, tables).tolist() if vs else []
+        codes = _codes(vs, bits, tables, kind).tolist() if vs else []
         return [(v, i, n, c) for v, i, n, c in zip(vs, ids, copies, codes, strict=True)]
 
     schema = "v binary, rep long, copies long, codes array<long>"
@@ -171,7 +187,7 @@ def dedup(vectors: DataFrame, cosine: float = COSINE, vec_id: str = "vec_id",
         "block", "rep", "copies", "v")
     group = ["table", "code", "one", "two"]
     found = written(blocked.repartition(*group).sortWithinPartitions(*group).mapInArrow(
-        _compare(bits, tables, cosine), "rep long, linked long, least long"), "links")
+        _compare(bits, tables, cosine, kind), "rep long, linked long, least long"), "links")
     counts = found.groupBy(F.col("rep").alias("_rep")).agg(F.sum("linked").alias("linked"))
     parts = components(found.select(F.col("rep").alias("u"), F.col("least").alias("v")))
     known = reps.join(counts, F.col("rep") == F.col("_rep"), "left").join(

@@ -8,7 +8,8 @@ it also starts in a document with a smaller id, judged on the input.
   bucket of that minimiser.  Equal windows have equal minimisers, so they meet there, and sorting the
   windows of a bucket counts them exactly, by their words.
 * Equal texts are folded first: the smallest id stands for all; the other copies lose every word
-  that a window covers.
+  that a window covers.  A text is named by its id and a 128-bit digest, so that rows of one id with
+  different texts are not taken for each other.
 * A first pass counts in how many different texts each minimiser occurs (map-side combined).  Only
   super-k-mers of minimisers that occur in two texts or more are packed and shuffled.
 * Minimisers of more than ``HOT`` occurrences would make large buckets.  Their windows travel
@@ -17,7 +18,7 @@ it also starts in a document with a smaller id, judged on the input.
 * Texts are shuffled by id once; both joins that need them read the same exchange.
 
 Defined cases: a null or empty text has no words; a text of fewer than ``WINDOW`` words loses none;
-of equal ids none is smaller; a null id is smaller than none and no id is smaller than it.
+of equal ids none is smaller, whatever their texts; a null id is smaller than none and no id is smaller than it.
 """
 
 from __future__ import annotations
@@ -29,7 +30,7 @@ from itertools import compress
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from relaylens.llm import words
@@ -84,15 +85,15 @@ def profile(ids: list, bodies: list) -> list[tuple]:
 def _packed(names: list[str]):
     """mapInArrow: the packed super-k-mers, or single windows, that a document sends to buckets."""
     schema = pa.schema([("bucket", pa.int64()), ("digest", pa.binary()), ("rep", pa.int64()),
-                        ("starts", pa.list_(pa.int64())), ("windows", pa.int32()),
+                        ("key", pa.binary()), ("starts", pa.list_(pa.int64())), ("windows", pa.int32()),
                         ("packed", pa.binary())])
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            at = {n: batch.column(names.index(n)) for n in ("doc_id", "text", "cold", "hot")}
+            at = {n: batch.column(names.index(n)) for n in ("doc_id", "key", "text", "cold", "hot")}
             rows: list[tuple] = []
             held = 0
-            for i, body, cold, hot in zip(*(c.to_pylist() for c in at.values()), strict=True):
+            for i, key, body, cold, hot in zip(*(c.to_pylist() for c in at.values()), strict=True):
                 data = (body or "").encode()
                 starts, ends = words.spans(data)
                 first, count, mins = super_kmers(words.hashes(data, starts, ends))
@@ -113,8 +114,8 @@ def _packed(names: list[str]):
                     for w in range(f, f + n):
                         window = hashlib.blake2b(b" ".join(parts[w:w + WINDOW]), digest_size=16)
                         digests.setdefault(window.digest(), []).append(w)
-                rows += [(b, None, i, places, n, packed) for (b, n, packed), places in strings.items()]
-                rows += [(None, d, i, places, 1, None) for d, places in digests.items()]
+                rows += [(b, None, i, key, places, n, packed) for (b, n, packed), places in strings.items()]
+                rows += [(None, d, i, key, places, 1, None) for d, places in digests.items()]
                 held += sum(len(packed) for _, _, packed in strings) + 60 * len(digests)
                 if held > 1 << 24:
                     yield _batch(rows, schema)
@@ -130,26 +131,26 @@ def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
         [pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
 
 
-def repeated(rows: list[tuple[int, list[int], int, bytes]]) -> list[tuple[int, int, int]]:
-    """(rep, first, last) of the windows in one bucket that also start in a smaller document.
+def repeated(rows: list[tuple[int, bytes, list[int], int, bytes]]) -> list[tuple[int, bytes, int, int]]:
+    """(rep, key, first, last) of the windows in one bucket that also start in a smaller document.
 
-    ``rows`` are (rep, starts, windows, packed) of one bucket.
+    ``rows`` are (rep, key, starts, windows, packed) of one bucket.
     """
-    kinds: dict[bytes, list[tuple[int, list[int], int]]] = {}
-    for rep, starts, n, packed in rows:
-        kinds.setdefault(packed, []).append((rep, starts, n))
+    kinds: dict[bytes, list[tuple[int, bytes, list[int], int]]] = {}
+    for rep, key, starts, n, packed in rows:
+        kinds.setdefault(packed, []).append((rep, key, starts, n))
     if len(kinds) == 1:
         (places,) = kinds.values()
-        least = min(rep for rep, _, _ in places)
-        return [(rep, start, start + n - 1) for rep, starts, n in places if rep > least
+        least = min(place[0] for place in places)
+        return [(rep, key, start, start + n - 1) for rep, key, starts, n in places if rep > least
                 for start in starts]
     windows: list[tuple[bytes, int, int, int]] = []
     for k, (packed, places) in enumerate(kinds.items()):
         s, e = words.spans(packed)
-        s, e, least = s.tolist(), e.tolist(), min(rep for rep, _, _ in places)
-        windows += [(packed[s[w]:e[w + WINDOW - 1]], least, k, w) for w in range(places[0][2])]
+        s, e, least = s.tolist(), e.tolist(), min(place[0] for place in places)
+        windows += [(packed[s[w]:e[w + WINDOW - 1]], least, k, w) for w in range(places[0][3])]
     windows.sort()
-    least_at: list[list[int]] = [[0] * places[0][2] for places in kinds.values()]
+    least_at: list[list[int]] = [[0] * places[0][3] for places in kinds.values()]
     before, least = None, 0
     for window, rep, k, w in windows:
         if window != before:
@@ -157,26 +158,26 @@ def repeated(rows: list[tuple[int, list[int], int, bytes]]) -> list[tuple[int, i
         least_at[k][w] = least
     out = []
     for places, leasts in zip(kinds.values(), least_at, strict=True):
-        for rep, starts, n in places:
+        for rep, key, starts, n in places:
             w = 0
             while w < n:
                 if leasts[w] < rep:
                     first = w
                     while w < n and leasts[w] < rep:
                         w += 1
-                    out += [(rep, start + first, start + w - 1) for start in starts]
+                    out += [(rep, key, start + first, start + w - 1) for start in starts]
                 w += 1
     return out
 
 
-_RANGES = pa.schema([("rep", pa.int64()), ("first", pa.int64()), ("last", pa.int64())])
+_RANGES = pa.schema([("rep", pa.int64()), ("key", pa.binary()), ("first", pa.int64()), ("last", pa.int64())])
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Buckets come sorted, one after the other; one is held at a time."""
     bucket, held = None, []
     for batch in batches:
-        found: list[tuple[int, int, int]] = []
+        found: list[tuple[int, bytes, int, int]] = []
         for b, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             if b != bucket:
                 if len(held) > 1:
@@ -207,6 +208,15 @@ def _cutter(join_untouched: bool):
     return cut
 
 
+def _text_key(text: Column) -> Column:
+    """The first half of the digest that ``profile`` takes."""
+    return F.unhex(F.substring(F.sha2(F.coalesce(text, F.lit("")).cast("binary"), 256), 1, 32))
+
+
+def _same(rep: str, key: str) -> Column:
+    return (F.col("doc_id") == F.col(rep)) & (F.col("key") == F.col(key))
+
+
 def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
                    keep: tuple[str, ...] = (), join_untouched: bool = True) -> DataFrame:
     """``doc_id``, ``n_words``, ``n_removed``, ``kept_text`` (kept words, one space apart) and the
@@ -215,39 +225,39 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     Without ``join_untouched`` a text that loses no word is kept as it is.
     """
     docs = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"),
-                       F.col(f"`{text}`").alias("text"),
+                       F.col(f"`{text}`").alias("text"), _text_key(F.col(f"`{text}`")).alias("key"),
                        F.struct(F.lit(0).alias("_"), *(F.col(f"`{c}`") for c in keep)).alias("kept"))
     schema = "doc_id long, key binary, n_words int, minimisers array<long>"
     rows = written(docs.where(F.col("doc_id").isNotNull()).select("doc_id", "text").mapInArrow(
         arrow_rows(profile, schema), schema).where(F.col("n_words") >= WINDOW), "minimisers")
     reps = rows.groupBy("key").agg(F.min("doc_id").alias("rep"), F.first("minimisers").alias("minimisers"))
-    places = reps.select("rep", F.explode("minimisers").alias("bucket"))
+    places = reps.select("rep", "key", F.explode("minimisers").alias("bucket"))
     counts = places.groupBy("bucket").agg(
         F.min("rep").alias("least"), F.max("rep").alias("most"), F.count("*").alias("n")).where(
         F.col("least") < F.col("most")).select(F.col("bucket").alias("_bucket"), "n")
     shared = places.join(counts, F.col("bucket") == F.col("_bucket")).groupBy(
-        F.col("rep").alias("_rep")).agg(
+        F.col("rep").alias("_rep"), F.col("key").alias("_key")).agg(
         F.collect_set(F.when(F.col("n") <= HOT, F.col("bucket"))).alias("cold"),
         F.collect_set(F.when(F.col("n") > HOT, F.col("bucket"))).alias("hot"))
-    sending = docs.join(shared, F.col("doc_id") == F.col("_rep"))
+    sending = docs.join(shared, _same("_rep", "_key"))
     sent = written(sending.mapInArrow(
-        _packed(sending.columns), "bucket long, digest binary, rep long, starts array<long>, "
+        _packed(sending.columns), "bucket long, digest binary, rep long, key binary, starts array<long>, "
                                   "windows int, packed binary"), "windows")
-    cold = sent.where(F.col("packed").isNotNull()).select("bucket", "rep", "starts", "windows", "packed")
+    cold = sent.where(F.col("packed").isNotNull()).select("bucket", "rep", "key", "starts", "windows", "packed")
     ranges = cold.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(
-        _count, "rep long, first long, last long")
-    hot = sent.where(F.col("digest").isNotNull()).select("digest", "rep", "starts")
+        _count, "rep long, key binary, first long, last long")
+    hot = sent.where(F.col("digest").isNotNull()).select("digest", "rep", "key", "starts")
     least = hot.groupBy("digest").agg(F.min("rep").alias("least")).withColumnRenamed("digest", "_digest")
     single = hot.join(least, F.col("digest") == F.col("_digest")).where(F.col("least") < F.col("rep")) \
-        .select("rep", F.explode("starts").alias("first")).withColumn("last", F.col("first"))
+        .select("rep", "key", F.explode("starts").alias("first")).withColumn("last", F.col("first"))
     copies = rows.join(reps.select(F.col("key").alias("_key"), "rep"), F.col("key") == F.col("_key")) \
-        .where(F.col("doc_id") > F.col("rep")).select(F.col("doc_id").alias("rep"))
+        .where(F.col("doc_id") > F.col("rep")).select(F.col("doc_id").alias("rep"), "key")
     removed = ranges.unionByName(single).withColumn("whole", F.lit(False)).unionByName(
         copies.withColumn("whole", F.lit(True)), allowMissingColumns=True).groupBy(
-        F.col("rep").alias("_rep")).agg(
+        F.col("rep").alias("_rep"), F.col("key").alias("_key")).agg(
         F.max("whole").alias("whole"),
         F.collect_list(F.when(~F.col("whole"), F.struct("first", "last"))).alias("ranges"))
-    joined = docs.join(removed, F.col("doc_id") == F.col("_rep"), "left").select(
+    joined = docs.join(removed, _same("_rep", "_key"), "left").select(
         "doc_id", "text", "kept", F.coalesce("whole", F.lit(False)).alias("whole"), "ranges")
     schema = ("doc_id long, n_words long, n_removed long, kept_text string, "
               f"kept {docs.schema['kept'].dataType.simpleString()}")

@@ -36,6 +36,10 @@ def spans(data: bytes) -> tuple[np.ndarray, np.ndarray]:
     return np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
 
 
+def words_of(data: bytes) -> list[bytes]:
+    return data.split()  # bytes are split at the space and 0x09-0x0D alone
+
+
 def numbered(datas: list[bytes], starts_too: np.ndarray | None = None
              ) -> tuple[np.ndarray, list[bytes], np.ndarray]:
     """The words of all texts as numbers from 0, the different words by number, words per text.
