@@ -56,11 +56,12 @@ def shard(docs: DataFrame, shards: int = SHARDS, doc_id: str = "doc_id", text: s
 
     heavy = keyed.groupBy("key").agg(F.sum("size").alias("heavy")).where(F.col("heavy") > share) \
         .withColumnRenamed("key", "_key")
-    # At most ``ranges`` keys can be heavier than total / ranges, so this side is bounded.
+    # At most ``ranges`` keys can be heavier than total / ranges, and ``light`` has one row per range, so
+    # these sides are bounded.  Were they shuffled, a range would stay in one task with all its parts.
     marked = keyed.join(F.broadcast(heavy), F.col("key") == F.col("_key"), "left").drop("_key")
     light = marked.where(F.col("heavy").isNull()).groupBy(F.col("range").alias("_range")).agg(
         F.sum("size").alias("light"))
-    placed = marked.join(light, F.col("range") == F.col("_range"), "left").withColumns({
+    placed = marked.join(F.broadcast(light), F.col("range") == F.col("_range"), "left").withColumns({
         # light parts are numbered from 0, those of heavy keys by their key
         "own": F.when(F.col("heavy").isNotNull(), F.col("key")),
         "part": F.when(F.col("heavy").isNotNull(), _part("doc_id", F.ceil(F.col("heavy") / share)))

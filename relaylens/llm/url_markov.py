@@ -29,6 +29,8 @@ ALLOW, BLOCK = "allow", "block"
 ORDER = 4
 ALPHABET = 256
 TAIL = 0.05
+#: So many different characters may be broadcast; with more of them the joins are shuffled.
+LETTERS = 1 << 16
 FOLDS = 5
 Rule = tuple[str, str, str]  # verdict, host, path
 
@@ -69,8 +71,15 @@ def _log_ratios(counts: DataFrame) -> DataFrame:
     contexts = grams.withColumn("context", F.expr("left(gram, length(gram) - 1)")).groupBy("context").agg(
         F.sum("good").alias("good_all"), F.count_if(F.col("good") > 0).alias("good_kinds"),
         F.sum("bad").alias("bad_all"), F.count_if(F.col("bad") > 0).alias("bad_kinds"))
-    known = orders.select("run", "k", "gram", F.expr("left(gram, k)").alias("context")).join(
-        grams, "gram").join(contexts, "context")
+    # The shortest contexts and runs are few and stand in every URL: one row per character at most.
+    short = written(contexts.where(F.length("context") <= 1), "short_contexts")
+    letters = written(grams.where(F.length("gram") == 1), "letters")
+    few = short.count() <= LETTERS and letters.count() <= LETTERS
+    sent = F.broadcast if few else (lambda df: df)
+    asked = orders.select("run", "k", "gram", F.expr("left(gram, k)").alias("context"))
+    known = asked.where("k = 0").join(sent(letters), "gram").join(sent(short), "context").unionByName(
+        asked.where("k = 1").join(grams, "gram").join(sent(short), "context")).unionByName(
+        asked.where("k > 1").join(grams, "gram").join(contexts, "context"))
     steps = known.groupBy("run").agg(F.array_sort(F.collect_list(F.struct(
         "k", "good", "good_all", "good_kinds", "bad", "bad_all", "bad_kinds"))).alias("steps"))
 
