@@ -138,12 +138,14 @@ def with_edited(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
         return F.struct(r.alias("range"), F.lit(ahead).alias("ahead"))
 
     places = [to(F.col("range"), 0),
-              F.when(F.array_contains(F.lit(splitters).cast("array<bigint>"), F.col("doc_id")),
+              # A range other than the first begins with its splitter.
+              F.when(F.get(F.lit(splitters).cast("array<bigint>"), F.col("range") - 1) == F.col("doc_id"),
                      to(F.col("range") - 1, 1)),
               F.when(F.col("doc_id").eqNullSafe(F.lit(first)), to(F.lit(len(splitters)), 1))]
     dealt = docs.withColumn("to", F.explode(F.array_compact(F.array(*places)))).select(
         "to.range", "to.ahead", "doc_id", "text")
-    ordered = dealt.repartition("range").sortWithinPartitions("range", "ahead", "doc_id", "text")
+    # One range a task: hashing the numbers would put several into one.
+    ordered = dealt.repartitionById(len(splitters) + 1, F.col("range").cast("int")).sortWithinPartitions("range", "ahead", "doc_id", "text")
     return ordered.mapInArrow(_neighbours, (
         "doc_id long, n_chars long, edited_sha256 string, fingerprint string, "
         "edited_fingerprint string, near_edited double, near_next double"))
