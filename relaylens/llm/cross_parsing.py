@@ -27,6 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from relaylens.llm.common import arrow_rows
+from relaylens.llm.worker import held
 
 UNDECIDED = "und"
 CHARS_PER_LANGUAGE = 12_000
@@ -36,7 +37,6 @@ REMEMBERED = 400_000
 
 LETTERS = re.compile(r"[^\W\d_]+")
 
-_models: dict[tuple, Model] = {}
 
 
 def automaton(text: str) -> list[dict[str, int]]:
@@ -150,10 +150,7 @@ def normalised(text: str) -> str:
 
 
 def model_of(training: tuple[tuple[str, str], ...]) -> Model:
-    if training not in _models:
-        _models.clear()
-        _models[training] = Model(training)
-    return _models[training]
+    return held(("languages", training), lambda: Model(training))
 
 
 def training_texts(labelled: DataFrame, chars: int = CHARS_PER_LANGUAGE) -> tuple[tuple[str, str], ...]:

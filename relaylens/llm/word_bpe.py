@@ -13,13 +13,13 @@ import os
 import re
 from array import array
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 from relaylens.llm import words
 from relaylens.llm.pair_merges import PAD, PairTable, cut, merge
+from relaylens.llm.worker import held
 
-REMEMBERED = 1 << 27  # bytes of words, ids and table entries in one period
+REMEMBERED = 3 << 25  # bytes of words, ids and table entries in one period
 SLICE = 1 << 20
 TOGETHER = 1 << 23  # characters whose words are numbered together
 #: After an ASCII letter these begin a token, whatever follows.
@@ -179,10 +179,9 @@ class Encoder:
         yield from self._together(few)
 
 
-@lru_cache(maxsize=1)
 def encoder_of(path: str) -> Encoder:
-    """One encoder per worker process: what it has learned serves the worker's later tasks too."""
-    return Encoder(path)
+    """The worker's encoder: what it has learned serves the worker's later tasks too."""
+    return held(("words", path), lambda: Encoder(path))
 
 
 def folded(body: str) -> str:
