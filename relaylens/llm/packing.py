@@ -140,6 +140,7 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int
                 packer.add(i, 0, len(data) // 4 + 1, data + end)
                 if packer.held >= BLOCK_TOKENS:
                     yield packer.flush(last=False)
+        encoder.rest()
         yield packer.flush(last=False)
         yield _batch([(i, start, len(ids) // 4, None, n, partition, None, None, ids)
                       for i, start, n, ids in packer.pieces])

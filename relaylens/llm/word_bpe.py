@@ -13,6 +13,7 @@ import os
 import re
 from array import array
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 from relaylens.llm import words
@@ -20,6 +21,7 @@ from relaylens.llm.pair_merges import PAD, PairTable, cut, merge
 from relaylens.llm.worker import held
 
 REMEMBERED = 3 << 25  # bytes of words, ids and table entries in one period
+KEPT = 200_000  # words that stay in the worker between two tasks
 SLICE = 1 << 20
 TOGETHER = 1 << 23  # characters whose words are numbered together
 #: After an ASCII letter these begin a token, whatever follows.
@@ -80,6 +82,13 @@ class Encoder:
         self.known[word] = ids
         self.size += len(word) + len(ids) + _ENTRY
 
+    def rest(self) -> None:
+        """Between tasks only the words met first, the frequent ones, stay: idle workers hold little."""
+        self.older = {}
+        if len(self.known) > KEPT:
+            self.known = dict(islice(self.known.items(), KEPT))
+            self.size = sum(len(w) + len(ids) + _ENTRY for w, ids in self.known.items())
+
     def _by_library(self, names: list[str]) -> None:
         for i in range(0, len(names), 4096):
             part = names[i:i + 4096]
