@@ -210,5 +210,7 @@ def with_language(docs: DataFrame, training: tuple[tuple[str, str], ...],
         model = model_of(shared.value)
         return pd.DataFrame([model.judge(b) for b in bodies], columns=["lang", "score"])
 
-    return docs.withColumn("_found", judged(F.col(f"`{text}`"))).withColumns({
+    # Not to be evaluated once for a filter and once more for the columns.
+    once = judged.asNondeterministic()
+    return docs.withColumn("_found", once(F.col(f"`{text}`"))).withColumns({
         "lang_pred": F.col("_found.lang"), "lang_score": F.col("_found.score")}).drop("_found")
