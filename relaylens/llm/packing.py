@@ -37,6 +37,7 @@ END_ID = 1
 LINEAR, QUADRATIC = 1.0, 1.0 / 512
 BLOCK_TOKENS = 1 << 21
 TAILS = 1024
+ROWS = 1000  # of a batch whose words are numbered together
 SCHEMA = ("doc_id long, start long, length long, ids_crc32 long, doc_tokens long, "
           "sequence_id long, offset long, cost double")
 
@@ -135,11 +136,12 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int
         packer, encoder = _Packer(partition << 40, capacity), encoder_of(tokenizer)
         end = np.asarray([end_id], "<u4").tobytes()
         for batch in batches:
-            which = batch.column(0).to_pylist()
-            for i, data in zip(which, encoder.encode(batch.column(1).to_pylist()), strict=True):
-                packer.add(i, 0, len(data) // 4 + 1, data + end)
-                if packer.held >= BLOCK_TOKENS:
-                    yield packer.flush(last=False)
+            for at in range(0, len(batch), ROWS):
+                which, bodies = (c.to_pylist() for c in batch.slice(at, ROWS).columns)
+                for i, data in zip(which, encoder.encode(bodies), strict=True):
+                    packer.add(i, 0, len(data) // 4 + 1, data + end)
+                    if packer.held >= BLOCK_TOKENS:
+                        yield packer.flush(last=False)
         encoder.rest()
         yield packer.flush(last=False)
         yield _batch([(i, start, len(ids) // 4, None, n, partition, None, None, ids)

@@ -18,12 +18,12 @@ from itertools import islice
 import numpy as np
 from relaylens.llm import words
 from relaylens.llm.pair_merges import PAD, PairTable, cut, merge
-from relaylens.llm.worker import held
+from relaylens.llm.worker import held, release
 
 REMEMBERED = 3 << 25  # bytes of words, ids and table entries in one period
 KEPT = 200_000  # words that stay in the worker between two tasks
 SLICE = 1 << 20
-TOGETHER = 1 << 23  # characters whose words are numbered together
+TOGETHER = 1 << 22  # characters whose words are numbered together
 #: After an ASCII letter these begin a token, whatever follows.
 _MARK = np.zeros(256, np.bool_)
 _MARK[list(b".,!?;:")] = True
@@ -88,6 +88,7 @@ class Encoder:
         if len(self.known) > KEPT:
             self.known = dict(islice(self.known.items(), KEPT))
             self.size = sum(len(w) + len(ids) + _ENTRY for w, ids in self.known.items())
+        release()
 
     def _by_library(self, names: list[str]) -> None:
         for i in range(0, len(names), 4096):

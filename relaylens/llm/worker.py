@@ -11,13 +11,21 @@ import gc
 from collections.abc import Callable, Hashable
 from typing import Any
 
+import pyarrow as pa
+
 _held: dict[Hashable, Any] = {}
 
 
+def release() -> None:
+    """Gives memory that is no longer in use back to the machine: Arrow keeps it for later batches."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+
+
 def held(key: Hashable, build: Callable[[], Any]) -> Any:
     """The object of this key, built if it is not the one held."""
     if key not in _held:
         _held.clear()
-        gc.collect()
+        release()
         _held[key] = build()
     return _held[key]
