@@ -21,6 +21,7 @@ from relaylens.plans import analysis, oracle
 from relaylens.plans import workload as w
 from relaylens.session import configure, last_changed, remove_staged, shared_dir, stage
 from relaylens.sources import messages as sources
+from relaylens.sources import report_store
 from relaylens.sources import reports as sinks
 from relaylens.sources.mime import parse_messages
 from relaylens.streaming import monitor
@@ -185,6 +186,23 @@ def s9(spark, sf):
     return flat_report(sinks.read_reports(spark, target), "source_stem")
 
 
+def report_batches(spark, reports_, target, count=3):
+    """The reports as batches by id; the first was published with half of its rows before."""
+    done = stage(reports_, "reports")
+    place = F.pmod(F.col("id").cast("long"), F.lit(count))
+    report_store.publish(done.where(F.pmod(F.col("id").cast("long"), F.lit(2 * count)) == 0), target, 0)
+    for batch in range(count):
+        report_store.publish(done.where(place == batch), target, batch)
+    return target
+
+
+@entry("s9_published_batches", _REPORT_SQL.replace("SELECT id", "SELECT id AS source_stem, id"))
+def s9_published(spark, sf):
+    timed = reports(spark, sf).withColumn("processed_at", F.current_timestamp())
+    target = report_batches(spark, timed, f"{shared_dir(spark)}/batches-{uuid.uuid4().hex}")
+    return flat_report(report_store.published(spark, target), "source_stem")
+
+
 _CLOCK = "1700000000 + (CAST({c} AS BIGINT) * 7919) % 100003"
 
 
@@ -196,6 +214,15 @@ def s10(spark, sf):
     return sinks.latest_report(timed).select("id", "risk_score", "processed_at")
 
 
+@entry("s10_latest_published",
+       f"SELECT id, risk_score, {_CLOCK.format(c='k')} AS processed_at FROM report "
+       f"ORDER BY {_CLOCK.format(c='k')} DESC, id DESC LIMIT 1")
+def s10_published(spark, sf):
+    timed = reports(spark, sf).withColumn("processed_at", F.expr(_CLOCK.format(c="id")))
+    target = report_batches(spark, timed, f"{shared_dir(spark)}/batches-{uuid.uuid4().hex}")
+    return report_store.latest_published(spark, target).select("id", "risk_score", "processed_at")
+
+
 @entry("s11_list_reports",
        "SELECT row_number() OVER (ORDER BY id) AS no, id AS file, "
        "overall_verdict AS verdict, CAST(risk_score AS VARCHAR) AS score, "
@@ -269,7 +296,7 @@ def s8(spark, sf):
     raw = sources.with_content_id(w.raw_mail(spark, sf))
     for batch in (0, 1):
         monitor.process_batch(raw, batch, w.dimensions(spark, sf), out, w.given_probability)
-    done = spark.read.parquet(f"{out}/reports").groupBy().agg(
+    done = monitor.reports_of(spark, out).groupBy().agg(
         F.count("*").alias("reported"),
         F.coalesce(F.sum((F.col("batch") == 1).cast("int")), F.lit(0)).cast("int")
         .alias("reprocessed"))

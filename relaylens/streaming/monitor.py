@@ -15,6 +15,7 @@ from relaylens.plans.analysis import Dimensions, address_intel, assessed, messag
 from relaylens.session import (
     list_folders, move_folder, remove_folder, remove_staged, stage, staged_tables,
 )
+from relaylens.sources import report_store
 from relaylens.sources.messages import dedup_messages, quarantine, read_table_or_none
 from relaylens.sources.mime import parse_messages
 from relaylens.sources.reports import source_stem
@@ -29,7 +30,7 @@ def process_batch(
 ) -> None:
     """One micro-batch: reports first, the ledger last.
 
-    Both are written under the batch's own folder and overwritten on a retry.  The ledger read
+    The reports become visible in one step, and a retry replaces them.  The ledger read
     leaves out the current batch, so a batch that failed half way is done again in full, and a
     message that an earlier batch finished is not.
     """
@@ -59,9 +60,9 @@ def _process(spark: SparkSession, raw: DataFrame, batch_id: int, dims: Dimension
     reports = final_report(results, "email_id", "path").withColumns({
         "source_stem": source_stem(F.col("path")), "processed_at": F.current_timestamp(),
     }).drop("path")
-    reports.write.mode("overwrite").parquet(f"{out}/reports/batch={batch_id}")
+    name = report_store.publish(reports, f"{out}/reports", batch_id)
     bad.write.mode("overwrite").parquet(f"{out}/dead_letter/batch={batch_id}")
-    written = spark.read.parquet(f"{out}/reports/batch={batch_id}")
+    written = report_store.published(spark, f"{out}/reports", [name])
     written.select(F.col("id").alias("email_id"), "processed_at").write.mode("overwrite") \
         .parquet(f"{out}/ledger/batch={batch_id}")
 
@@ -144,4 +145,4 @@ def monitor(
 
 
 def reports_of(spark: SparkSession, out: str) -> DataFrame:
-    return spark.read.parquet(f"{out}/reports")
+    return report_store.published(spark, f"{out}/reports")
