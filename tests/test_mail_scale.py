@@ -35,3 +35,13 @@ def test_parsed_rows_leave_in_slices(monkeypatch):
         ["a", "b", "c"], ["d", "e", "f"], ["g"]]
     monkeypatch.setattr(mime, "SLICE_BYTES", 120)  # one message, never none
     assert [len(p) for p in mime._parse_batches(iter([batch, batch.iloc[:0]]))] == [1] * 7
+
+
+def test_free_text_headers_read_as_the_registry_reads_them():
+    from email.headerregistry import HeaderRegistry
+
+    registry, read = HeaderRegistry(), mime.header_rules().header_factory
+    for value in ("plain  text ", "a\tb (c) <d@e>", "=?utf-8?b?w6k=?= x", "x=?utf-8?q?a_b?=y", "café", "=?bad", ""):
+        for name in ("Subject", "received", "X-Client-IP", "From", "Message-ID", "Content-Type"):
+            assert str(read(name, value)) == str(registry(name, value)), (name, value)
+    assert type(read("Received", "from a by b")) is str  # without the grammar
