@@ -1,6 +1,12 @@
+import bisect
+
+import pytest
 from pyspark.sql import functions as F
 
+from relaylens.functions.ranges import range_of
+from relaylens.operators import cutting, ranges6
 from relaylens.plans import catalog, workload
+from relaylens.session import stage
 from relaylens.sources import mime
 
 
@@ -45,3 +51,54 @@ def test_free_text_headers_read_as_the_registry_reads_them():
         for name in ("Subject", "received", "X-Client-IP", "From", "Message-ID", "Content-Type"):
             assert str(read(name, value)) == str(registry(name, value)), (name, value)
     assert type(read("Received", "from a by b")) is str  # without the grammar
+
+
+@pytest.mark.parametrize("count", [1, 2, 3, 7, 8, 9, 64])
+def test_position_among_any_number_of_splitters(spark, count):
+    numbers = [10 * i for i in range(count)]
+    texts = [f"{n:05d}" for n in numbers]
+    keys = [None, -1, 0, 5, 10, *range(10 * count - 15, 10 * count + 5, 3)]
+    rows = spark.createDataFrame([(k, None if k is None else f"{max(k, 0):05d}") for k in keys], "k long, t string")
+    for r in rows.select("k", "t", range_of(F.col("k"), numbers).alias("a"), range_of(F.col("t"), texts).alias("b")).collect():
+        assert r.a == (0 if r.k is None else bisect.bisect_right(numbers, r.k))
+        assert r.b == (0 if r.t is None else bisect.bisect_right(texts, r.t))
+
+
+def test_segments_of_ranges_are_searched_once(spark, capsys):
+    df = spark.range(400).selectExpr("id * 10 AS lo", "id * 10 + 500 + id % 7 AS end", "500 + id % 7 AS width",
+                                     "named_struct('name', id) AS rec")
+    cutting.pieces(df, 1 << 40, ranges6.splitters, ranges6.segment).explain()
+    assert "aggregate(" not in capsys.readouterr().out
+
+
+@pytest.fixture
+def named_stages(monkeypatch):
+    names = []
+
+    def named(df, name):
+        names.append(name)
+        return stage(df, name)
+
+    monkeypatch.setattr(catalog, "stage", named)
+    return names
+
+
+def small_tables(spark, folder):
+    spark.createDataFrame([(i, f"R{i}") for i in range(5)], "r_regionkey long, r_name string").write.parquet(
+        f"{folder}/region.parquet")
+    spark.createDataFrame([(i, f"N{i}", i % 5) for i in range(25)], "n_nationkey long, n_name string, n_regionkey long") \
+        .write.parquet(f"{folder}/nation.parquet")
+    spark.createDataFrame([(i,) for i in range(9)], "s_suppkey long").write.parquet(f"{folder}/supplier.parquet")
+    spark.createDataFrame([(i, f"C{i}") for i in range(50)], "c_custkey long, c_name string").write.parquet(
+        f"{folder}/customer.parquet")
+    return documents(spark, folder)
+
+
+def test_address_queries_run_only_the_steps_that_name_addresses(spark, tmp_path, named_stages):
+    sf = small_tables(spark, tmp_path)
+    found = catalog.QUERIES["g3_geo_range_join_overlaps"](spark, sf).collect()
+    assert named_stages == ["addresses"]
+    catalog.facts(spark, sf)
+    assert sorted(catalog.g1(spark, sf).collect()) == sorted(
+        catalog.geo.distinct_ips(catalog.once(spark, sf, "addresses", None)).collect())
+    assert len(found) == catalog.g1(spark, sf).count()
