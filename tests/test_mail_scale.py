@@ -102,3 +102,12 @@ def test_address_queries_run_only_the_steps_that_name_addresses(spark, tmp_path,
     assert sorted(catalog.g1(spark, sf).collect()) == sorted(
         catalog.geo.distinct_ips(catalog.once(spark, sf, "addresses", None)).collect())
     assert len(found) == catalog.g1(spark, sf).count()
+
+
+@pytest.mark.parametrize("query", ["s9_write_reports", "s10_latest_published"])
+def test_results_read_once_are_not_written(spark, tmp_path, named_stages, query):
+    sf = small_tables(spark, tmp_path)
+    first = catalog.QUERIES[query](spark, sf).collect()
+    assert "results" not in named_stages
+    catalog.results(spark, sf)  # written by another query: read
+    assert sorted(map(str, catalog.QUERIES[query](spark, sf).collect())) == sorted(map(str, first))
