@@ -104,7 +104,7 @@ def test_address_queries_run_only_the_steps_that_name_addresses(spark, tmp_path,
     assert len(found) == catalog.g1(spark, sf).count()
 
 
-@pytest.mark.parametrize("query", ["s9_write_reports", "s10_latest_published"])
+@pytest.mark.parametrize("query", ["s9_write_reports", "s10_latest_published", "f10_unified_report"])
 def test_results_read_once_are_not_written(spark, tmp_path, named_stages, query):
     sf = small_tables(spark, tmp_path)
     first = catalog.QUERIES[query](spark, sf).collect()
